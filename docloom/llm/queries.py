@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_char_lstm_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.sharding import shard_documents
 
@@ -24,6 +30,18 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.tokens import token_files
+
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def op8_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.mixing import replicate
 
