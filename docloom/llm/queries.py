@@ -24,6 +24,12 @@ def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.chunks import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.simhash import near_duplicates
 
