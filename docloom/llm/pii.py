@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -9,7 +10,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.tagger import KINDS, TAGS, Tagger, encode
@@ -23,8 +24,8 @@ DIGIT = re.compile("[0-9]")
 #: No span lies where none of these is near: the tagger need not look there.
 TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]", re.I)
 WINDOW, STRIDE = 96, 48
-#: Labelled windows and steps of training.
-SAMPLES, STEPS = 3000, 220
+#: Labelled windows, their length, and steps of training.
+SAMPLES, LENGTH, STEPS = 4000, 64, 320
 Span = tuple[int, int]
 
 
@@ -99,31 +100,48 @@ def _sample(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
         if draw < 0.16:
             spans.append((kind, len(text), len(text) + len(piece)))
         text += piece + ("\n" if rng.random() < 0.08 else rng.choice([" ", " ", " ", ", ", ". "]))
-    cut = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-    return text[cut : cut + WINDOW], [(k, s - cut, e - cut) for k, s, e in spans if s >= cut and e <= cut + WINDOW]
+    cut = int(rng.integers(0, max(1, len(text) - LENGTH + 1)))
+    return text[cut : cut + LENGTH], [(k, s - cut, e - cut) for k, s, e in spans if s >= cut and e <= cut + LENGTH]
 
 
 def labelled(samples: int, seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    texts, tags = [], np.zeros((samples, WINDOW), np.int64)
+    texts, tags = [], np.zeros((samples, LENGTH), np.int64)
     for n in range(samples):
         text, spans = _sample(rng)
         texts.append(text)
         for kind, s, e in spans:
             tags[n, s] = TAGS.index(f"B-{kind}")
             tags[n, s + 1 : e] = TAGS.index(f"I-{kind}")
-    return texts, np.stack([encode(t, WINDOW) for t in texts]), tags
+    return texts, np.stack([encode(t, LENGTH) for t in texts]), tags
 
 
 @lru_cache(1)
 def trained(samples: int = SAMPLES, steps: int = STEPS) -> Tagger:
-    """The tagger, trained on `samples` labelled windows: the same weights in every run."""
+    """The tagger, trained on `samples` labelled windows: the same in every run but for the last digits."""
     _, ids, tags = labelled(samples)
     model = Tagger()
     model.train(ids, tags, steps)
     return model
 
 
+_MODELS: list[bytes] = []
+
+
+def model_for(spark: SparkSession) -> Tagger:
+    """The trained tagger. One task trains it, on one thread, once in a driver's life; the weights are some 40 KB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(trained().w)]})
+
+    if not _MODELS:
+        _MODELS.append(bytes(spark.range(1, numPartitions=1).mapInArrow(run, "model binary").first()[0]))
+    model = Tagger()
+    model.w = pickle.loads(_MODELS[0])
+    return model
+
+
 def plausible(kind: str, piece: str) -> bool:
     """What a tagged piece must hold to count: the tagger proposes, the form decides."""
     digits = re.sub("[^0-9]", "", piece)
@@ -216,7 +234,7 @@ def personal_data(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     that overlap none of them and have a plausible form (disguised addresses, national phone numbers). Null and empty texts
     have no spans; whole texts are read; every row gives a row, repeated ones too; other columns are not read.
     """
-    model = model or trained()
+    model = model or model_for(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

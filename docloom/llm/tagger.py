@@ -39,12 +39,13 @@ class Tagger:
             "start": np.zeros(tags),
         }
         self.w["ob"][0] = 2.0
-        self.banned = np.zeros((tags, tags))
+        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
+        self.banned = np.zeros((tags, tags), np.float32)
         for a in range(tags):
             for b in range(2, tags, 2):  # an I tag follows its B or itself
                 if a not in (b, b - 1):
                     self.banned[a, b] = -1e4
-        self.first = np.where([t.startswith("I-") for t in TAGS], -1e4, 0.0)
+        self.first = np.where([t.startswith("I-") for t in TAGS], -1e4, 0.0).astype(np.float32)
 
     def _run(self, ids: np.ndarray):
         """ids: batch, time. Emission scores and what training needs."""
@@ -52,7 +53,7 @@ class Tagger:
         n, t = ids.shape
         x = w["emb"][np.stack([ids, ids[:, ::-1]])]  # 2, n, t, e
         pre = np.matmul(x.reshape(2, n * t, -1), w["wx"]).reshape(2, n, t, 4 * h) + w["b"][:, :, None]
-        hs, cs, gates = np.zeros((t + 1, 2, n, h)), np.zeros((t + 1, 2, n, h)), np.empty((t, 2, n, 4 * h))
+        hs, cs, gates = np.zeros((t + 1, 2, n, h), np.float32), np.zeros((t + 1, 2, n, h), np.float32), np.empty((t, 2, n, 4 * h), np.float32)
         for k in range(t):
             g = pre[:, :, k] + np.matmul(hs[k], w["wh"])
             g[..., : 3 * h] = _sigmoid(g[..., : 3 * h])
@@ -93,7 +94,7 @@ class Tagger:
         grad["out"], grad["ob"] = np.tensordot(both, dem, ((0, 1), (0, 1))), dem.sum(axis=(0, 1))
         dboth = dem @ w["out"].T
         dh_in = np.stack([dboth[..., :h], dboth[::-1, :, h:]], axis=1)  # t, 2, n, h
-        dh, dc, dpre = np.zeros((2, n, h)), np.zeros((2, n, h)), np.empty((t, 2, n, 4 * h))
+        dh, dc, dpre = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32), np.empty((t, 2, n, 4 * h), np.float32)
         for k in range(t - 1, -1, -1):
             g, c, dh = gates[k], np.tanh(cs[k + 1]), dh + dh_in[k]
             i, f, o, u = g[..., :h], g[..., h : 2 * h], g[..., 2 * h : 3 * h], g[..., 3 * h :]
@@ -111,7 +112,7 @@ class Tagger:
             np.add.at(grad["emb"], (ids if s == 0 else ids[:, ::-1]).ravel(), flat @ w["wx"][s].T)
         return float((z - gold).sum()) / n, {k: v / n for k, v in grad.items()}
 
-    def train(self, ids: np.ndarray, tags: np.ndarray, steps: int, batch: int = 48, rate: float = 0.02, seed: int = 11) -> list[float]:
+    def train(self, ids: np.ndarray, tags: np.ndarray, steps: int, batch: int = 32, rate: float = 0.02, seed: int = 11) -> list[float]:
         """Adam over random batches; gives the losses."""
         rng, m, v, losses = np.random.default_rng(seed), {k: 0.0 for k in self.w}, {k: 0.0 for k in self.w}, []
         for k in range(1, steps + 1):
@@ -122,7 +123,7 @@ class Tagger:
             for name, g in grad.items():
                 g = np.clip(g, -5, 5)
                 m[name], v[name] = 0.9 * m[name] + 0.1 * g, 0.99 * v[name] + 0.01 * g * g
-                self.w[name] = self.w[name] - pace * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)
+                self.w[name] = (self.w[name] - pace * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
         return losses
 
     def viterbi(self, em: np.ndarray) -> list[int]:
