@@ -24,6 +24,12 @@ def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.chunks import deduplicate
 
