@@ -48,6 +48,12 @@ def op6_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op8_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.html_text import extract
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import drop_stored, partitions, stored
+from docloom.llm.common import partitions, stored
 from docloom.llm.components import components
 
 SEED = 42
@@ -232,7 +232,6 @@ def deduplicate(docs: DataFrame, most: int = 7, size: int = 5, similarity: float
         alike = F.coalesce(both / (F.size("words") + F.size("head") - both) >= similarity, F.lit(False)) | (F.size("words") + F.size("head") == 0)
         judged = stored(left.join(heads, "component_id").filter("doc_id <> kept").select("doc_id", "component_id", alike.alias("alike"), F.when(~alike, F.col("words")).alias("words")), "judged")
         gone.append(judged.filter("alike").select("doc_id"))
-        drop_stored(docs.sparkSession, left)
         left = judged.filter("not alike").select("doc_id", "component_id", "words")
     out = reduce(DataFrame.unionAll, gone) if gone else members.select("doc_id").limit(0)
     keepers = first.join(out.distinct(), "doc_id", "left_anti").select("doc_id", "digest")
