@@ -392,7 +392,78 @@ def _formation() -> None:
     REGISTERED["inspect_structure_counts"] = (structure, f"SELECT role, sum(n)::BIGINT AS n FROM (SELECT unnest(['JsonValue', 'JsonObjectMember', 'JsonArrayElement']) AS role, unnest([8, 5, 2]) + unnest([1, 1, 0]) * CASE WHEN {DUP} THEN 1 ELSE 0 END AS n FROM customer) GROUP BY role")
 
 
-for _part in (_json, _values, _graph, _toml, _yaml, _ini, _properties, _xml, _plist, _hcl, _formation):
+def _function(name: str, act: Callable, sql: str | None) -> None:
+    REGISTERED[name] = (act, sql)
+
+
+def _conversion() -> None:
+    from docloom.functions.convert import apply_plan, codes, convert, edit, project
+    from docloom.functions.source import detect, digest, encoding, exit_class, redacted
+
+    def docs(name: str):
+        return lambda spark, sf_dir: documents(spark, sf_dir, name)
+
+    def converted(name: str, source: str, style: str, policy: str | None, status: str, fidelity: str, text: str) -> None:
+        _function(name, lambda spark, sf_dir: convert(docs(source)(spark, sf_dir), TEXTS[source][0], style, policy), f"SELECT c_custkey::BIGINT AS doc_id, {status} AS status, {fidelity} AS fidelity, {text} AS text FROM customer")
+
+    dup = lambda x: f"CASE WHEN {DUP} THEN {x} ELSE '' END"
+    converted("convert_json_to_json", "json", "json.canonical-compact@1", None, "'Ok'", "'Exact'", f"""'{{"id":' || {K} || ',"name":"' || {N} || '","tags":["' || {G} || '",' || {M_} || '],"sub":{{"x":15e-1}}' || {dup("',\"id\":0'")} || '}}' || chr(10)""")
+    first = f"""'"id": ' || {K} || chr(10) || '"name": "' || {N} || '"' || chr(10) || '"tags":' || chr(10) || '  - "' || {G} || '"' || chr(10) || '  - ' || {M_} || chr(10) || '"sub":' || chr(10) || '  "x": 15e-1' || chr(10)"""
+    converted("convert_json_to_yaml_first_wins", "json", "yaml.canonical-block@1", "FirstWins", "'Ok'", f"CASE WHEN {DUP} THEN 'Lossy' ELSE 'Exact' END", first)
+    converted("convert_json_reject", "json", "json.canonical-compact@1", "Reject", f"CASE WHEN {DUP} THEN 'core.projection.duplicate-key@1' ELSE 'Ok' END", f"CASE WHEN NOT {DUP} THEN 'Exact' END", f"""CASE WHEN NOT {DUP} THEN '{{"id":' || {K} || ',"name":"' || {N} || '","tags":["' || {G} || '",' || {M_} || '],"sub":{{"x":15e-1}}}}' || chr(10) END""")
+    converted("convert_json_to_toml_refused", "json", "toml.canonical-document@1", None, "'core.materialization.unrepresentable@1'", "NULL::VARCHAR", "NULL::VARCHAR")
+    converted("convert_ini_to_json", "ini", "json.canonical-compact@1", None, "'Ok'", "'Exact'", f"""'{{"Main":{{"Id":"' || {K} || '","name":"' || {N} || '"' || {dup("',\"ID\":\"2\"'")} || '}},"Other":{{"empty":""}}}}' || chr(10)""")
+    converted("convert_properties_last_wins", "properties", "java-properties.reader-canonical@1", "LastWins", "'Ok'", f"CASE WHEN {DUP} THEN 'Lossy' ELSE 'Exact' END", f"""CASE WHEN {DUP} THEN '' ELSE 'id=' || {K} || chr(10) END || 'a\\ key=' || {N} || chr(10) || 'empty=' || chr(10) || 'explicit=' || chr(10) || 'long=ab' || chr(10) || {dup("'id=0' || chr(10)")}""")
+    converted("convert_toml_to_toml", "toml", "toml.canonical-document@1", None, "'Ok'", "'Exact'", f"""'id = ' || {K} || chr(10) || 'name = "' || {N} || '"' || chr(10) || 'tags = ["' || {G} || '", ' || {M_} || ']' || chr(10) || 'line = [{{no = 1}}, {{no = 2}}]' || chr(10) || 'sub = {{x = 1.5}}' || chr(10)""")
+    converted("convert_xml_to_json_refused", "xml", "json.canonical-compact@1", None, "'core.conversion.record-family@1'", "NULL::VARCHAR", "NULL::VARCHAR")
+    for source, style in (("xml", "xml.safe-canonical-document@1"), ("plist", "plist.xml-canonical@1")):
+        _function(f"convert_{source}_closure", lambda spark, sf_dir, s=source, t=style: convert(docs(s)(spark, sf_dir), TEXTS[s][0], t).groupBy("status").agg(F.count(F.lit(1)).alias("n")), "SELECT 'Ok' AS status, count(*) AS n FROM customer")
+    _function("plist_convert_to_binary", lambda spark, sf_dir: convert(docs("plist")(spark, sf_dir), "plist.xml@1", "plist.binary-canonical@1").groupBy("status").agg(F.count(F.lit(1)).alias("n")), f"SELECT CASE WHEN {DUP} THEN 'core.materialization.unrepresentable@1' ELSE 'Ok' END AS status, count(*) AS n FROM customer GROUP BY 1")
+    _function("project_json_fidelity", lambda spark, sf_dir: project(docs("json")(spark, sf_dir), "json.strict@1").groupBy("status", "fidelity").agg(F.count(F.lit(1)).alias("n")), f"SELECT 'Ok' AS status, CASE WHEN {DUP} THEN 'Transformed' ELSE 'Exact' END AS fidelity, count(*) AS n FROM customer GROUP BY 2")
+    _function("project_recovered_refused", lambda spark, sf_dir: project(docs("broken")(spark, sf_dir), "json.strict@1").groupBy("status").agg(F.count(F.lit(1)).alias("n")), f"SELECT CASE WHEN {DUP} THEN 'core.projection.unavailable@1' ELSE 'Ok' END AS status, count(*) AS n FROM customer GROUP BY 1")
+    _function("value_codes", lambda spark, sf_dir: codes(docs("json")(spark, sf_dir), "json.strict@1").select("doc_id", F.hex("pvce").alias("pvce"), "hash", "transport"), None)
+
+    def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        query = chain("json.native-semantic-query@1", "json.try-object-members", ("json.member-name-equals", {"name": "name"}), "json.member-value")
+        at = run(query, nodes(spark, sf_dir, "json")).matches.select("doc_id", "start_byte", "end_byte", F.lit('"renamed"').alias("replacement"))
+        return edit(docs("json")(spark, sf_dir), at, "json.strict@1").select("doc_id", "status", "text", "untouched", (F.sha2(F.col("text"), 256) == F.col("target_digest")).alias("verified"))
+
+    text = f"""'{{"id":' || {K} || ',"name":"renamed","tags":["' || {G} || '",' || {M_} || '],"sub":{{"x":1.50}}' || {dup("',\"id\":0'")} || '}}'"""
+    _function("edit_replace_value", renamed, f"SELECT c_custkey::BIGINT AS doc_id, 'Ok' AS status, {text} AS text, (length({text}) - 9)::BIGINT AS untouched, true AS verified FROM customer")
+
+    def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = documents(spark, sf_dir, "ini").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "text", "doc_id")
+        target = F.concat(F.col("text"), F.lit("; done\r\n"))
+        plan = base.select("path", F.sha2("text", 256).alias("base_digest"), F.sha2(target, 256).alias("target_digest"), target.alias("target"))
+        now = base.select("path", F.when(F.col("doc_id") % 3 == 0, target).when(F.col("doc_id") % 3 == 1, F.lit("changed")).otherwise(F.col("text")).cast("binary").alias("content"))
+        return apply_plan(now, plan).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+    _function("apply_plan", planned, "SELECT CASE WHEN c_custkey % 3 = 1 THEN 'skipped-stale' ELSE 'completed' END AS status, count(*) AS n FROM customer GROUP BY 1")
+    _function("source_digest", lambda spark, sf_dir: documents(spark, sf_dir, "ini").select("doc_id", digest(F.col("text")).alias("digest")), f"SELECT c_custkey::BIGINT AS doc_id, sha256('[Main]' || chr(13) || chr(10) || 'Id=' || {K} || chr(13) || chr(10) || 'name=' || {N} || chr(13) || chr(10) || {dup("'ID=2' || chr(13) || chr(10)")} || '[Other]' || chr(13) || chr(10) || 'empty=' || chr(13) || chr(10) || '; note' || chr(13) || chr(10)) AS digest FROM customer")
+    kinds = {"json": "json", "toml": "toml", "yaml": "yaml", "ini": "ini", "properties": "java-properties", "xml": "xml", "plist": "plist", "hcl": "hcl"}
+
+    def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = None
+        for name, end in (("json", "json"), ("toml", "toml"), ("yaml", "yaml"), ("ini", "ini"), ("properties", "properties"), ("xml", "xml"), ("plist", "plist"), ("hcl", "tf")):
+            part = documents(spark, sf_dir, name).select(F.lit(name).alias("source"), F.array_join(detect(F.col("text"), F.lit(f"a.{end}")), ",").alias("families"))
+            out = part if out is None else out.unionByName(part)
+        return out.groupBy("source", "families").agg(F.count(F.lit(1)).alias("n"))
+
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS source, '{v}' AS families, count(*) AS n FROM customer" for k, v in kinds.items())
+    _function("detect_families", detected, rows)
+    _function("redact_values", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), redacted(F.when(F.expr(DUP), F.lit("db_Password")).otherwise(F.lit("name")), F.col("c_name")).alias("value")), f"SELECT c_custkey AS doc_id, CASE WHEN {DUP} THEN '***' ELSE c_name END AS value FROM customer")
+    _function("resolve_encoding", lambda spark, sf_dir: documents(spark, sf_dir, "ini").select(encoding(F.concat(F.when(F.expr("doc_id % 2 = 0"), F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit(""))), F.col("text").cast("binary")), "utf-8", declaration=F.when(F.expr("doc_id % 3 = 0"), F.lit("latin-1"))).alias("e")).groupBy(F.col("e.selected").alias("selected"), F.col("e.code").alias("code")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'latin-1' ELSE 'utf-8' END AS selected, CASE WHEN c_custkey % 6 = 0 THEN 'core.source.encoding-conflict@1' END AS code, count(*) AS n FROM customer GROUP BY 1, 2")
+    _function("exit_classes", lambda spark, sf_dir: convert(docs("json")(spark, sf_dir), "json.strict@1", "json.canonical-compact@1", "Reject").select(exit_class(F.when(F.col("status") != "Ok", F.col("status"))).cast("long").alias("exit")).groupBy("exit").agg(F.count(F.lit(1)).alias("n")), f"SELECT CASE WHEN {DUP} THEN 4 ELSE 0 END::BIGINT AS exit, count(*) AS n FROM customer GROUP BY 1")
+
+    def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from docloom.plans.catalog import DOMAINS
+
+        return spark.createDataFrame([(d, len(ops)) for d, (_, ops) in DOMAINS.items()], "domain string, operators long")
+
+    _function("registry_domains", catalogue, None)
+
+
+for _part in (_conversion, _json, _values, _graph, _toml, _yaml, _ini, _properties, _xml, _plist, _hcl, _formation):
     _part()
 
 

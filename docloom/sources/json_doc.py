@@ -125,6 +125,8 @@ class Parser:
         _, self.tree.value = self.item(None, 0, 0)
         if self.peek() != "End":
             self.tree.note("json.document.trailing@1", self.tokens[self.k][1], len(self.tree.text))
+        if any(code != "json.object.duplicate-member@1" for code, _, _ in self.tree.diagnostics):
+            self.tree.value = None  # a recovered document has no portable value
         return self.tree
 
     def item(self, parent: int | None, ordinal: int, depth: int) -> tuple[int | None, Value | None]:
