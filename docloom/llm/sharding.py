@@ -7,8 +7,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import unit
-
 #: A tree is a list of regions, a region a list of racks, a rack a list of (shard, weight).
 Tree = list[list[list[tuple[int, float]]]]
 
@@ -31,21 +29,26 @@ def _weigh(node) -> float:
 
 def _draw(key: F.Column, path: F.Column, weights: F.Column) -> F.Column:
     """The place, from 1, of the child with the earliest exponential arrival: chance in proportion to weight."""
-    times = F.transform(weights, lambda w, k: -F.log(unit(key, path, k) + F.lit(2.0**-53)) / w)
-    return F.array_position(times, F.array_min(times)).cast("int")
+    u = lambda k: (F.shiftrightunsigned(F.xxhash64(path, k, key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return F.array_min(F.transform(weights, lambda w, k: F.struct((-F.log(u(k)) / w).alias("t"), k.alias("k")))).k + 1
+
+
+def _given(value: F.Column, then) -> F.Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
-def place(rows: DataFrame, key: F.Column, tree: Tree, name: str) -> DataFrame:
-    """rows with the column `name`: the shard of the key, by a weighted draw among regions, then racks, then shards."""
-    region, rack = f"_{name}_region", f"_{name}_rack"
+def place(key: F.Column, tree: Tree) -> F.Column:
+    """The shard of the key, by a weighted draw among regions, then among racks, then among shards."""
     numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    rows = rows.withColumn(region, _draw(key, F.lit("root"), numbers(map(_weigh, tree))))
-    racks = F.element_at(F.array(*[numbers(map(_weigh, r)) for r in tree]), F.col(region))
-    rows = rows.withColumn(rack, _draw(key, F.col(region), racks))
-    leaves = F.element_at(F.element_at(F.array(*[F.array(*[numbers(w for _, w in k) for k in r]) for r in tree]), F.col(region)), F.col(rack))
-    shards = F.element_at(F.element_at(F.array(*[F.array(*[numbers(s for s, _ in k) for k in r]) for r in tree]), F.col(region)), F.col(rack))
-    leaf = _draw(key, F.concat_ws("/", region, rack), leaves)
-    return rows.withColumn(name, F.element_at(shards, leaf).cast("int")).drop(region, rack)
+    regions = numbers(map(_weigh, tree))
+    racks = F.array(*[numbers(map(_weigh, r)) for r in tree])
+    leaves = F.array(*[F.array(*[numbers(w for _, w in k) for k in r]) for r in tree])
+    shards = F.array(*[F.array(*[numbers(s for s, _ in k) for k in r]) for r in tree])
+    at = lambda table, *path: at(F.element_at(table, path[0]), *path[1:]) if path else table
+    leaf = lambda r, k: F.element_at(at(shards, r, k), _draw(key, r * 1000 + k, at(leaves, r, k)))
+    found = _given(_draw(key, F.lit(-1), regions), lambda r: _given(_draw(key, r, at(racks, r)), lambda k: leaf(r, k)))
+    return found.cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, rows_each: int = 100_000, keep: list[str] | None = None, base: int = 40) -> DataFrame:
@@ -69,8 +72,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, rows_each: int = 100_000,
         F.lit("key").alias("law"),
         part.alias("_part"),
     )
-    rows = place(place(rows, key, layout(shards, base), "shard"), key, layout(shards + 1, base), "grown_shard")
-    counts = place(docs.select(key, part.alias("_part")), key, layout(shards, base), "shard").groupBy("shard", "_part").count()
+    rows = rows.withColumn("shard", place(key, layout(shards, base))).withColumn("grown_shard", place(key, layout(shards + 1, base)))
+    counts = docs.select(place(key, layout(shards, base)).alias("shard"), part.alias("_part")).groupBy("shard", "_part").count()
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32", "size")
