@@ -19,6 +19,8 @@ RULES = {
     "repeats": ("n_repeat_words / greatest(n_words, 1)", "most", 0.1, 0.3),
     "capitals": ("n_upper / greatest(word_chars, 1)", "most", 0.15, 0.4),
     "exclaims": ("n_exclaims / greatest(n_words, 1)", "most", 0.05, 0.3),
+    "letters": ("n_letters / greatest(word_chars, 1)", "least", 0.9, 0.8),
+    "bare_symbols": ("n_bare / greatest(n_words, 1)", "most", 0.02, 0.1),
     "variety": ("n_distinct / least(greatest(n_words, 1), 400)", "least", 0.3, 0.15),
 }
 
@@ -46,6 +48,8 @@ def measures(docs: DataFrame) -> DataFrame:
         count(F.size("_lines")).alias("n_lines"),
         count(F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}+", ""))).alias("n_upper"),
         count(less("!")).alias("n_exclaims"),
+        count(F.length(text) - F.length(F.regexp_replace(text, "\\p{L}+", ""))).alias("n_letters"),
+        count(F.size(F.filter("_words", lambda w: ~w.rlike("[\\p{L}\\p{N}]")))).alias("n_bare"),
         count(F.size(F.array_distinct(F.slice("_words", 1, 400)))).alias("n_distinct"),
     )
 
@@ -56,32 +60,40 @@ def vote(name: str) -> F.Column:
     return F.when(x <= good if kind == "most" else x >= good, 1).when(x > bad if kind == "most" else x < bad, 0).otherwise(-1).cast("int")
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict]]:
-    """EM over vote patterns with their counts: the share of good texts, and per rule P(vote | bad), P(vote | good).
+#: Prior knowledge of rules, as shares of all texts that count for it: a rule seldom votes against a good text, and
+#: against a bad text, of which there are many kinds, more often.
+FALSE_ALARM, HITS = (0.01, 0.2), (0.3, 0.02)
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
+    """EM over vote patterns with their counts: the share of good texts, and per rule how often it votes against a bad and a
+    good text, where it votes. Accuracies are learned from where rules agree; abstentions say nothing.
 
     It starts from: a text is good if no rule votes against it.
     """
     rules = len(next(iter(patterns), ((),))[0])
-    good = [0.95 if 0 not in p and 1 in p else 0.05 for p, _ in patterns]
-    prior, table = 0.5, [{v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for _ in range(rules)]
+    mass = sum(n for _, n in patterns) or 1
+    good = [0.05 if 0 in p else 0.95 for p, _ in patterns]
+    prior, table = 0.5, [(0.5, 0.5)] * rules
     for _ in range(rounds):
-        mass = sum(n for _, n in patterns) or 1
-        g = sum(q * n for q, (_, n) in zip(good, patterns))
-        prior = min(max((g + 1) / (mass + 2), 1e-6), 1 - 1e-6)
+        prior = min(max((sum(q * n for q, (_, n) in zip(good, patterns)) + 1) / (mass + 2), 1e-6), 1 - 1e-6)
         for r in range(rules):
-            table[r] = {
-                v: (
-                    (sum((1 - q) * n for q, (p, n) in zip(good, patterns) if p[r] == v) + 1) / (mass - g + 3),
-                    (sum(q * n for q, (p, n) in zip(good, patterns) if p[r] == v) + 1) / (g + 3),
-                )
-                for v in (-1, 0, 1)
-            }
+            cast = [(q, n, p[r] == 0) for q, (p, n) in zip(good, patterns) if p[r] != -1]
+            rate = lambda of, known: (sum(of(q) * n for q, n, no in cast if no) + known[0] * known[1] * mass) / (sum(of(q) * n for q, n, _ in cast) + known[1] * mass)
+            on_good = rate(lambda q: q, FALSE_ALARM)
+            table[r] = (max(rate(lambda q: 1 - q, HITS), on_good), on_good)
         good = [1 / (1 + math.exp(min(700, max(-700, -_odds(p, prior, table))))) for p, _ in patterns]
     return prior, table
 
 
-def _odds(pattern: tuple[int, ...], prior: float, table: list[dict]) -> float:
-    return math.log(prior / (1 - prior)) + sum(math.log(table[r][v][1] / table[r][v][0]) for r, v in enumerate(pattern))
+def _weights(rule: tuple[float, float]) -> dict[int, float]:
+    """What a vote adds to the log odds of quality."""
+    bad, good = rule
+    return {0: math.log(good / bad), 1: math.log((1 - good) / (1 - bad)), -1: 0.0}
+
+
+def _odds(pattern: tuple[int, ...], prior: float, table: list[tuple[float, float]]) -> float:
+    return math.log(prior / (1 - prior)) + sum(_weights(t)[v] for t, v in zip(table, pattern))
 
 
 def judge(docs: DataFrame, threshold: float = 0.5, measured: DataFrame | None = None) -> DataFrame:
@@ -92,7 +104,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, measured: DataFrame | None =
     texts fail the base; repeated rows get the same verdict; an empty table gives no rows. Input columns that clash with
     a measure are replaced.
     """
-    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaims", "n_distinct", "base_failed", "p_good", "kept"}
+    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaims", "n_letters", "n_bare", "n_distinct", "base_failed", "p_good", "kept"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own and not c.startswith("_v_")])
     seen = measured if measured is not None else measures(docs)
     votes = seen.select("*", *[vote(k).alias(f"_v_{k}") for k in RULES])
@@ -100,7 +112,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, measured: DataFrame | None =
     prior, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in counts))
     odds = F.lit(math.log(prior / (1 - prior)))
     for k, t in zip(RULES, table):
-        w = {v: math.log(t[v][1] / t[v][0]) for v in t}
+        w = _weights(t)
         odds = odds + F.when(F.col(f"_v_{k}") == 1, w[1]).when(F.col(f"_v_{k}") == 0, w[0]).otherwise(w[-1])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = votes.withColumn("base_failed", failed).withColumn("p_good", 1 / (1 + F.exp(-odds)))
@@ -108,9 +120,9 @@ def judge(docs: DataFrame, threshold: float = 0.5, measured: DataFrame | None =
 
 
 def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that judge() keeps, with the columns they came with."""
+    """The documents that judge() keeps, with the columns they came with, whatever their names."""
     from docloom.llm.common import stored
 
-    ids = docs.columns
-    light = stored(measures(docs), "quality")
-    return judge(docs, threshold, light).filter("kept").select(*[F.col(f"`{c}`") for c in ids])
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").cast("string").alias("text"))
+    seen = stored(measures(held).drop("text"), "quality")
+    return judge(held, threshold, seen).filter("kept").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
