@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of this machine where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if not known.isDefined() and app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        found = known.get() if known.isDefined() else _LOCAL[app]
     return found.rstrip("/")
 
 
