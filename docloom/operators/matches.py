@@ -37,8 +37,7 @@ def hop(matches: DataFrame, nodes: DataFrame, column: Column) -> DataFrame:
 
 def group(matches: DataFrame, nodes: DataFrame, key: Column) -> DataFrame:
     """All mates of each match's duplicate group, in source order."""
-    left = _left(matches, key).withColumn("_r", F.lit(None)).drop("_r").filter("_k IS NOT NULL")
-    left = left.join(matches.select(F.col("doc_id").alias("_d2"), F.col("ord").alias("_o2"), F.col("role").alias("_role")), (F.col("_d") == F.col("_d2")) & (F.col("_o") == F.col("_o2")))
+    left = matches.select(F.col("doc_id").alias("_d"), key.alias("_k"), F.col("role").alias("_role"), F.col("ord").alias("_o")).filter("_k IS NOT NULL")
     mates = nodes.withColumn("_g", key)
     return left.join(mates, (F.col("doc_id") == F.col("_d")) & (F.col("_g") == F.col("_k")) & (F.col("role") == F.col("_role"))).select(*ROW, _step(F.col("node_id")))
 

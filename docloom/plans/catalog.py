@@ -206,5 +206,5 @@ def operators(domain: str) -> dict[str, Operator]:
 
 
 def input_role(domain: str) -> str:
-    first = DOMAINS[domain][1][0].source
-    return first
+    """The role of what a query starts from."""
+    return DOMAINS[domain][1][0].source

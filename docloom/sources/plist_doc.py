@@ -10,9 +10,7 @@ from docloom.functions.values import Value, float64, integer, sequence, string
 from docloom.sources import xml_doc
 from docloom.sources.tree import Failure, Tree
 
-LEAVES = {"string", "integer", "real", "date", "data", "true", "false"}
 DATE = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)Z")
-DAYS = 719163  # days from year 1 to 1970
 
 
 def _seconds(text: str) -> float:
@@ -62,9 +60,7 @@ def parse(text: str, profile: str = "plist.xml@1") -> Tree:
     build.tree.diagnostics = list(xml.diagnostics)
     for k, r in enumerate(xml.rows, 1):
         own.setdefault(r["parent_id"], []).append(k)
-    for form, kind, s, e in xml.pieces:
-        raw = text[s:e]
-        build.tree.pieces.append((form, {"tag-open": "tag-open"}.get(kind, kind), s, e))
+    build.tree.pieces = list(xml.pieces)
     _tags(build.tree, text)
     root = next((k for k, r in enumerate(xml.rows, 1) if r["role"] == "XmlElement"), None)
     if root is None or xml[root]["name"] != "plist":
