@@ -155,7 +155,8 @@ DOMAINS: dict[str, tuple[str, list[Operator]]] = {
         plist.value-as-data | * | * | assert | kind = 'data'
         plist.value-as-date | * | * | assert | kind = 'date'
         plist.value-as-uid | * | * | assert | kind = 'uid'
-        plist.value-as-boolean-is | * | * | assert | kind = 'boolean' : text = lower(CAST({{value}} AS STRING)) | value:Boolean
+        plist.value-as-boolean-is | * | * | assert | kind = 'boolean' : text = lower(CAST({{value}} AS STRING)) | value:Boolean""")),
+    "plist.binary-structure-query@1": ("role = 'PlistValue' AND parent_id IS NULL", _table("""
         plist.object-table | * | PlistBinaryObject | gate | PlistBinaryObject
         plist.object-offset | * | PlistBinaryOffset | gate | PlistBinaryOffset
         plist.object-refs | * | PlistBinaryRef | gate | PlistBinaryRef
@@ -195,6 +196,12 @@ for _family in SYNTAX_KINDS:
         {_family}.syntax-kind-is | {_role} | {_role} | filter | kind = {{kind}} | kind:String | {SYNTAX_KINDS[_family]}
         {_family}.syntax-text-equals | {_role} | {_role} | filter | text = {{text}} | text:String{_more}"""))
 
+# Version 2 of the JSON domains knows identifiers, which only JSON5 has; version 1 does not.
+DOMAINS["json.native-semantic-query@2"] = DOMAINS["json.native-semantic-query@1"]
+DOMAINS["json.lossless-syntax-query@2"] = DOMAINS["json.lossless-syntax-query@1"]
+_old = [o if not o.words else Operator(o.name, o.source, o.target, o.act, o.what, o.args, tuple(w for w in o.words if w != "Identifier")) for o in DOMAINS["json.lossless-syntax-query@2"][1]]
+DOMAINS["json.lossless-syntax-query@1"] = (DOMAINS["json.lossless-syntax-query@2"][0], _old)
+
 GENERIC = [Operator("core.take", "*", "*", "special", "take", {"count": "Integer"}), Operator("core.distinct-by-identity", "*", "*", "special", "distinct")]
 SELECTIONS = ("All", "First", "Last", "ZeroOrOne", "RequireOne")
 #: Sort key of a structural merge.
@@ -207,4 +214,5 @@ def operators(domain: str) -> dict[str, Operator]:
 
 def input_role(domain: str) -> str:
     """The role of what a query starts from."""
-    return DOMAINS[domain][1][0].source
+    first = DOMAINS[domain][1][0].source
+    return first if first != "*" else "PlistValue"

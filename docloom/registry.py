@@ -24,6 +24,7 @@ TEXTS = {
     "xml": ("xml.1.0-safe@1", '<?xml version="1.0"?>\n<!DOCTYPE c:cust [<!ENTITY e "E">]><!-- c --><c:cust xmlns:c="urn:c" id="@k@"><name xmlns:d="urn:d">@n@ &amp; &#65;&e;</name><tags><tag v="@g@"/><tag v="@m@"/></tags><![CDATA[raw]]><!--in--><?pi go?></c:cust>\n<!-- end -->\n'),
     "plist": ("plist.xml@1", '<?xml version="1.0"?>\n<plist version="1.0"><dict><key>id</key><integer>@k@</integer><key>name</key><string>@n@</string><key>tags</key><array><string>@g@</string><real>1.5</real><true/><data>AQI=</data><date>2001-01-02T00:00:00Z</date></array>@+<key>id</key><integer>0</integer>@</dict></plist>\n'),
     "hcl": ("hcl.native@1", 'id = @k@\nname = "@n@"\ntags = ["@g@", 3]\nobj = { a = 1 }\nsum = 1 + 2\ntpl = "v-${var.x}"\nresource "cust" "@n@" {\n  inner = -1\n}\n'),
+    "json5": ("json5.standard@1", "{id: @k@, x: 0x10, /* c */}"),
     "broken": ("json.strict@1", '{"id":@k@@+,"x":@}'),
 }
 COLUMNS = {"k": "c_custkey", "n": "c_name", "g": "c_mktsegment", "m": "c_nationkey"}
@@ -139,6 +140,8 @@ def _json() -> None:
     add("select_require_one_failures", "json", ids, "text", [(0, "'core.query.cardinality-violation@1'", DUP)], selection="RequireOne", failures=True)
     add("json_syntax_kind_is", "json", [("json.syntax-kind-is", {"kind": "Number"})], "text", [(0, K), (1, M_), (2, "'1.50'"), (3, "'0'", DUP)], domain="json.lossless-syntax-query@1")
     add("json_syntax_text_equals", "json", [("json.syntax-text-equals", {"text": ","})], "ordinal > 0", [(p, "'true'", *c) for p, *c in [(0,), (1,), (2,), (3,), (4, DUP)]], domain="json.lossless-syntax-query@1")
+    add("json5_syntax_identifiers", "json5", [("json.syntax-kind-is", {"kind": "Identifier"})], "text", [(0, "'id'"), (1, "'x'")], domain="json.lossless-syntax-query@2")
+    add("json5_member_value", "json5", [top, "json.member-value"], "text", [(0, K), (1, "'16'")], domain="json.native-semantic-query@2")
     REGISTERED["json_event_values"] = (
         lambda spark, sf_dir: run(chain("json.native-semantic-query@1", top, ("json.member-name-equals", {"name": "k"}), "json.member-value"), nodes(spark, sf_dir, "events")).ordered(F.col("kind"), F.expr("CAST(text AS BIGINT)").alias("v")),
         "SELECT event_id AS doc_id, 0::BIGINT AS pos, 'Integer' AS kind, json_extract(props, '$.k')::BIGINT AS v FROM events",
@@ -330,12 +333,12 @@ def _plist() -> None:
     # An element is a match of its own, so the boolean is read from a dict value.
     add("plist_value_as_boolean_is_failures", "plist", [*by("id"), "plist.dict-entry-value", ("plist.value-as-boolean-is", {"value": True})], "kind", [(0, "'core.query.required-type-mismatch@1'")], failures=True)
     # Objects in the order written: dict, its keys and values, then what the array holds.
-    add("plist_object_table", "binary", [*root, "plist.object-table"], "kind", [(p, f"'{v}'") for p, v in enumerate(["dict", "string", "string", "integer", "array", "string", "boolean", "uid"])])
-    add("plist_object_offset", "binary", [*root, "plist.object-offset"], "ordinal", [(p, str(p)) for p in range(8)])
-    add("plist_offset_table", "binary", [*root, "plist.offset-table"], "ordinal", [(p, str(p)) for p in range(8)])
-    add("plist_object_refs", "binary", [*root, "plist.object-refs"], "name || '>' || text", [(p, f"'{v}'") for p, v in enumerate(["0>1", "0>2", "0>3", "0>4", "4>5", "4>6", "4>7"])])
-    add("plist_trailer_facts", "binary", [*root, "plist.trailer-facts"], "split(text, ',')[2]", [(0, "'8'")])
-    add("plist_top_object", "binary", [*root, "plist.top-object"], "kind", [(0, "'dict'")])
+    add("plist_object_table", "binary", ["plist.object-table"], "kind", [(p, f"'{v}'") for p, v in enumerate(["dict", "string", "string", "integer", "array", "string", "boolean", "uid"])], domain="plist.binary-structure-query@1")
+    add("plist_object_offset", "binary", ["plist.object-offset"], "ordinal", [(p, str(p)) for p in range(8)], domain="plist.binary-structure-query@1")
+    add("plist_offset_table", "binary", ["plist.offset-table"], "ordinal", [(p, str(p)) for p in range(8)], domain="plist.binary-structure-query@1")
+    add("plist_object_refs", "binary", ["plist.object-refs"], "name || '>' || text", [(p, f"'{v}'") for p, v in enumerate(["0>1", "0>2", "0>3", "0>4", "4>5", "4>6", "4>7"])], domain="plist.binary-structure-query@1")
+    add("plist_trailer_facts", "binary", ["plist.trailer-facts"], "split(text, ',')[2]", [(0, "'8'")], domain="plist.binary-structure-query@1")
+    add("plist_top_object", "binary", ["plist.top-object"], "kind", [(0, "'dict'")], domain="plist.binary-structure-query@1")
     d = "plist.native-semantic-query@1"
     add("plist_structure_order_merge", "plist", StructureOrderMerge((chain(d, *by("name")).root, chain(d, *by("id"), ("core.take", {"count": 1})).root)), "name", [(0, "'id'"), (1, "'name'")], domain=d)
     add("plist_syntax_kind_is", "plist", [("plist.syntax-kind-is", {"kind": "key-open"})], "text", [(0, "'<key>'"), (1, "'<key>'"), (2, "'<key>'"), (3, "'<key>'", DUP)], domain="plist.lossless-syntax-query@1")
