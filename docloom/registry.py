@@ -434,6 +434,18 @@ def _conversion() -> None:
     text = f"""'{{"id":' || {K} || ',"name":"renamed","tags":["' || {G} || '",' || {M_} || '],"sub":{{"x":1.50}}' || {dup("',\"id\":0'")} || '}}'"""
     _function("edit_replace_value", renamed, f"SELECT c_custkey::BIGINT AS doc_id, 'Ok' AS status, {text} AS text, (length({text}) - 9)::BIGINT AS untouched, true AS verified FROM customer")
 
+    def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from docloom.functions.edits import edit_documents
+        from docloom.functions.values import Value, encode
+
+        args = '{"name": "new", "value": "%s"}' % encode(Value("Boolean", True)).hex()
+        base = docs("json")(spark, sf_dir)
+        asked = base.select("doc_id", F.lit("insert-member").alias("operation"), F.lit(1).alias("node_id"), F.lit(args).alias("args"))
+        return edit_documents(base, asked, "json.strict@1").select("doc_id", "status", "text")
+
+    body = f"""'{{"id":' || {K} || ',"name":"' || {N} || '","tags":["' || {G} || '",' || {M_} || '],"sub":{{"x":1.50}}' || {dup("',\"id\":0'")} || ', "new": true}}'"""
+    _function("edit_insert_member", inserted, f"SELECT c_custkey::BIGINT AS doc_id, 'Ok' AS status, {body} AS text FROM customer")
+
     def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = documents(spark, sf_dir, "ini").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "text", "doc_id")
         target = F.concat(F.col("text"), F.lit("; done\r\n"))
