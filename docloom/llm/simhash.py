@@ -208,34 +208,97 @@ def _shingle_sets(size: int):
     return run
 
 
+def _greedy(similarity: float):
+    """Settle one component in ascending doc_id: who resembles an earlier one that stays goes. Rows: doc_id, alike."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        stays, sizes, alike = {}, [], []
+        for words in pdf["words"]:
+            alike.append(_resembles(words, stays, sizes, similarity))
+            if not alike[-1]:
+                for h in words.tolist():
+                    stays.setdefault(h, []).append(len(sizes))
+                sizes.append(len(words))
+        return pdf.assign(alike=alike)[["doc_id", "component_id", "words", "alike"]]
+
+    return run
+
+
+def _resembles(words: np.ndarray, stays: dict[int, list[int]], sizes: list[int], similarity: float) -> bool:
+    """Has the set a Jaccard similarity of at least `similarity` to one of the sets indexed in stays?"""
+    found = [n for h in words.tolist() for n in stays.get(h, ())]
+    if not found:
+        return not len(words) and 0 in sizes
+    both = np.bincount(np.array(found), minlength=len(sizes))
+    return bool((both >= similarity * (len(words) + np.array(sizes) - both)).any())
+
+
+def _against(similarity: float):
+    """Rows of one part of a component that resemble one of the component's settled documents."""
+
+    def run(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        stays: dict[int, list[int]] = {}
+        sizes = [len(w) for w in heads["words"]]
+        for n, words in enumerate(heads["words"]):
+            for h in words.tolist():
+                stays.setdefault(h, []).append(n)
+        return rows.assign(alike=[_resembles(w, stays, sizes, similarity) for w in rows["words"]])[["doc_id", "component_id", "words", "alike"]]
+
+    return run
+
+
+#: Components up to this size are settled in one task; of larger ones the first HEADS or so at a time.
+TASK, HEADS = 1500, 250
+SET = "doc_id long, component_id long, words array<long>, alike boolean"
+
+
+def _settle(left: DataFrame, similarity: float) -> DataFrame:
+    """doc_id of the rows (doc_id, component_id, words) that resemble a row of their component with a smaller id that stays."""
+    gone: list[DataFrame] = []
+    while True:
+        counts = left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
+        few = left.join(counts.filter(F.col("n") <= TASK), "component_id").select("doc_id", "component_id", "words")
+        gone.append(stored(few.groupBy("component_id").applyInPandas(_greedy(similarity), SET).filter("alike").select("doc_id"), "gone"))
+        big = stored(counts.filter(F.col("n") > TASK), "big")
+        if not big.count():
+            return reduce(DataFrame.unionAll, gone)
+        rows = stored(left.join(big, "component_id"), "rows")
+        # A cut below which a component has HEADS documents or so: the smallest id of a hashed share of one in HEADS.
+        share = F.pmod(F.xxhash64(F.lit("cut"), "doc_id"), F.lit(HEADS)) == 0
+        cut = rows.groupBy("component_id").agg(F.coalesce(F.min(F.when(share, F.col("doc_id"))), F.max("doc_id")).alias("cut"))
+        rows = stored(rows.join(cut, "component_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / TASK)).cast("int")), "rows")
+        heads = rows.filter("doc_id <= cut").select("doc_id", "component_id", "words")
+        settled = stored(heads.groupBy("component_id").applyInPandas(_greedy(similarity), SET), "settled")
+        gone.append(settled.filter("alike").select("doc_id"))
+        spread = settled.filter("not alike").join(big, "component_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / TASK).cast("int") - 1)))
+        rest = rows.filter("doc_id > cut").groupBy("component_id", "part").cogroup(spread.groupBy("component_id", "part"))
+        judged = stored(rest.applyInPandas(_against(similarity), SET), "judged")
+        gone.append(judged.filter("alike").select("doc_id"))
+        left = judged.filter("not alike").select("doc_id", "component_id", "words")
+
+
 def deduplicate(docs: DataFrame, most: int = 7, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when one document of each group of near copies is kept.
 
     Equal texts are one group; the row with the smallest doc_id stays, and a repeated row once. Distinct texts whose
-    fingerprints (of distinct word pairs) are linked within `most` bits are compared by their sets of `size`-word shingles:
-    in each component the smallest doc_id stays, what has a Jaccard similarity of at least `similarity` to it goes, and the
-    rest is treated alike until all is settled. Null and empty texts are equal to each other; of those one stays. A null
-    doc_id counts as larger than any other. An empty table stays empty; all columns are kept.
+    fingerprints (of distinct word pairs) are linked within `most` bits are compared by their sets of `size`-word shingles,
+    in ascending doc_id: what has a Jaccard similarity of at least `similarity` to a document that stays goes. Null and empty
+    texts are equal to each other; of those one stays. A null doc_id counts as larger than any other. An empty table stays
+    empty; all columns are kept.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = stored(ids.mapInArrow(_sets, "doc_id long, digest binary, fp long"), "seen")
     first = stored(seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")), "first")
     n = first.count()
-    grouped = first.join(_grouped(first, most, segments_for(n, most)), "fp").filter("doc_id is not null").select("doc_id", "component_id")
+    grouped = first.join(_grouped(first, most, segments_for(n, most)), "fp").filter("doc_id is not null").select("doc_id", "component_id", "digest")
     many = grouped.groupBy("component_id").count().filter("count > 1").select("component_id")
     members = stored(grouped.join(many, "component_id"), "members")
-    left = stored(ids.join(members, "doc_id").select("doc_id", "component_id", "text").mapInArrow(_shingle_sets(size), "doc_id long, component_id long, words array<long>"), "sets")
-    gone = []
-    while left.count():
-        heads = left.groupBy("component_id").agg(F.min_by("words", "doc_id").alias("head"), F.min("doc_id").alias("kept"))
-        both = F.size(F.array_intersect("words", "head"))
-        alike = F.coalesce(both / (F.size("words") + F.size("head") - both) >= similarity, F.lit(False)) | (F.size("words") + F.size("head") == 0)
-        judged = stored(left.join(heads, "component_id").filter("doc_id <> kept").select("doc_id", "component_id", alike.alias("alike"), F.when(~alike, F.col("words")).alias("words")), "judged")
-        gone.append(judged.filter("alike").select("doc_id"))
-        left = judged.filter("not alike").select("doc_id", "component_id", "words")
-    out = reduce(DataFrame.unionAll, gone) if gone else members.select("doc_id").limit(0)
-    keepers = first.join(out.distinct(), "doc_id", "left_anti").select("doc_id", "digest")
-    own = [f"`{c}`" for c in docs.columns]
-    tagged = docs.select(*[F.col(c) for c in own], F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32)).alias("_digest"))
-    kept = tagged.join(keepers.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "_digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_digest"]).select(*[F.col(c) for c in own])
+    tagged = docs.withColumn("_digest", F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32)))
+    held = tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_digest").alias("digest"))
+    held = held.join(members, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "component_id", "text")
+    sets = stored(held.mapInArrow(_shingle_sets(size), "doc_id long, component_id long, words array<long>"), "sets")
+    gone = _settle(sets, similarity).distinct()
+    keepers = first.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    kept = tagged.join(keepers, "_digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
