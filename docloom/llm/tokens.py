@@ -35,6 +35,42 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Pieces(dict):
+    """The ids of pieces of text, found on first use.
+
+    A piece is cut by the tokenizer's own pattern, and each cut goes through the library's BPE model. A word of letters
+    alone is one cut; so is a mark after it, which ends the piece.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
+        others = [b for b in range(256) if b not in plain]
+        self.shown = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+        self.space = chr(self.shown[32])
+        self.packed = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
+
+    def bpe(self, cut: str) -> bytes:
+        if cut.isascii() and cut[1:].isalpha() and (cut[0] == " " or cut[0].isalpha()):
+            shown = self.space + cut[1:] if cut[0] == " " else cut
+        else:
+            shown = cut.encode().decode("latin-1").translate(self.shown)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(shown)])
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():
+            found = self.bpe(piece)
+        elif word[-1:] in (".", ",") and word[:-1].isalpha():
+            found = self[piece[:-1]] + self.mark[word[-1]]
+        else:
+            found = b"".join([self[c] if c != piece else self.bpe(c) for c in PATTERN.findall(piece)])
+        self[piece] = found
+        return found
+
+
 class Encoder:
     """Byte-level BPE by the tokenizers library, with the ids of pieces between white space remembered.
 
@@ -47,37 +83,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
-        others = [b for b in range(256) if b not in plain]
-        self.shown = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
-        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """A piece is cut by the tokenizer's own pattern; each cut goes through the library's BPE model once."""
-        known, tokenize, packed = self.known, self.model.tokenize, self.packed
-        for piece in pieces:
-            parts = PATTERN.findall(piece)
-            for part in parts:
-                if part not in known:
-                    shown = part.encode().decode("latin-1").translate(self.shown)
-                    known[part] = b"".join([packed[t.id] for t in tokenize(shown)])
-            if len(parts) != 1:
-                known[piece] = b"".join([known[p] for p in parts])
+        self.known = Pieces(self.tokenizer)
+        self.known.mark = {c: self.known.bpe(c) for c in ".,"}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [None if WHOLE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        new = set().union(*[s for s in split if s is not None])
-        missing = new - self.known.keys()
-        if missing:
-            if len(self.known) + len(missing) > CACHE:
-                self.known.clear()
-                missing = new
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        get, out = self.known.__getitem__, []
+        for t in texts:
+            if WHOLE.search(t):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(b"".join(map(get, t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
