@@ -47,9 +47,9 @@ def replicate(docs: DataFrame, weights: dict[str, float], other: float = 1.0, to
     kept = [c for c in docs.columns if c not in ("copy", "n_copies", "order_key")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col("source"), F.lit("")).alias("_source"))
     rows = rows.join(F.broadcast(table) if few else table, "_source")
-    n = F.aggregate(
-        F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, j: a + F.size(F.filter(F.col("_cdf"), lambda c: c <= unit(F.lit(seed), F.col("doc_id"), j)))
-    )
+    below = lambda u: F.size(F.filter(F.col("_cdf"), lambda c: c <= u))
+    draw = lambda j: F.transform(F.array(unit(F.lit(seed), F.col("doc_id"), j)), below)[0]
+    n = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, j: a + draw(j))
     rows = rows.withColumn("n_copies", n.cast("long")).filter("n_copies > 0").drop("_cdf", "_parts", "_rate", "_source")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     rows = rows.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy"))))
