@@ -7,7 +7,6 @@ Of two segments one bit apart, the one with the 0 looks the other up: 1 + (zero
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -70,7 +69,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def links_within(fps: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among the fingerprints of one bucket, as places in fps.
+    """A spanning forest of the links among the fingerprints of one bucket (numbers, or rows of them), as places in fps.
 
     A breadth-first search compares each fingerprint it reaches with those not reached yet, so a dense group of n copies
     costs some n comparisons, not n * n / 2.
@@ -82,7 +81,8 @@ def links_within(fps: np.ndarray, most: int) -> tuple[list[int], list[int]]:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             k = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[k]) <= most
+            differ = np.bitwise_count(fps[left] ^ fps[k])
+            near = (differ if differ.ndim == 1 else differ.sum(axis=1)) <= most
             if near.any():
                 found = left[near].tolist()
                 a += [k] * len(found)
@@ -92,14 +92,16 @@ def links_within(fps: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _search(most: int):
-    """Walk rows sorted by (seg, key), bucket by bucket, and give links between representatives."""
+def _search(most: int, columns: tuple[str, ...] = ("fp",)):
+    """Walk rows sorted by (seg, key), bucket by bucket, and give links between representatives. columns: the fingerprint."""
 
     def bucket(rows: pd.DataFrame) -> pd.DataFrame | None:
         seg, key = rows["seg"].to_numpy(), rows["key"].to_numpy()
         start = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])]))
         end = np.append(start[1:], len(rows))
-        fps, own, rep = rows["fp"].to_numpy().view(np.uint64), rows["own"].to_numpy(), rows["rep"].to_numpy()
+        own, rep = rows["own"].to_numpy(), rows["rep"].to_numpy()
+        fps = np.stack([rows[c].to_numpy().view(np.uint64) for c in columns], axis=1)
+        fps = fps[:, 0] if len(columns) == 1 else fps
         any_own = np.maximum.reduceat(own.astype(np.int8), start) > 0
         a, b = [], []
         for s, e in zip(start[(end - start > 1) & any_own], end[(end - start > 1) & any_own]):
@@ -133,11 +135,6 @@ def _search(most: int):
     return run
 
 
-def segments_for(rows: int, most: int) -> int:
-    """As many segments as leave a bucket for each of so many fingerprints, 2 at least and 4 at most."""
-    return max(2, min(4, most + 1, math.ceil(64 / math.log2(max(rows, 4)))))
-
-
 def links(distinct: DataFrame, most: int = 3, segments: int = 2) -> DataFrame:
     """Links (a, b) that connect what lies within `most` bits. distinct: fp, rep (a row for each fingerprint).
 
@@ -175,34 +172,69 @@ def near_duplicates(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, SHA-256 of the text, fingerprint of its distinct word pairs, and hashes of its distinct five-word shingles."""
-    from hashlib import sha256
-
+#: Bands of the pipeline's MinHash and values in a band: sets with a Jaccard similarity of 0.8 agree in none of the bands
+#: once in 2.5 million times, more similar ones more seldom.
+BANDS, ROWS = 28, 4
+#: Bits of a sketch, one for each of so many least hashes, and how many may differ: 0.1 of them do on average at 0.8, and so
+#: many or more once in some 100 million times.
+BITS, DIFFER = 256, 56
+_DRAW = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BITS, 1), np.uint32)
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash of sets of hashes: the keys of BANDS bands, and a sketch of BITS bits as longs. The empty set has its own."""
+    least = np.full((len(sets), BITS), np.uint32(0xFFFFFFFF))
+    for n, hashes in enumerate(sets):
+        part = (hashes.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(part), 2048):
+            np.minimum(least[n], ((part[at : at + 2048] ^ _DRAW[0]) * (_DRAW[1] | np.uint32(1))).min(axis=1), out=least[n])
+    wide = least[:, : BANDS * ROWS].astype(np.uint64).reshape(len(sets), BANDS, ROWS)
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    for j in range(ROWS):
+        keys = (keys ^ wide[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    bits = (least * np.uint32(0x85EBCA6B)) >> np.uint32(31)
+    return keys.view(np.int64), np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
+def _hashed(text: str | None, size: int) -> np.ndarray:
     from xxhash import xxh64_digest
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = part.column(1).to_pylist()
-            digests, found, counts = [], [], []
-            for text in texts:
-                digests.append(sha256((text or "").encode("utf-8", "surrogatepass")).digest()[:16])
-                pairs = dict.fromkeys(shingles(text, 2))
-                counts.append(len(pairs))
-                found.append(b"".join([xxh64_digest(p, SEED) for p in pairs]))
-            fps = _majority(np.frombuffer(b"".join(found), ">u8").astype("<u8"), counts)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
+    return np.unique(np.frombuffer(b"".join([xxh64_digest(p, SEED) for p in set(shingles(text, size))]), "<i8"))
 
 
-def _shingle_sets(size: int):
+def _sets(size: int):
+    """doc_id, SHA-256 of the text, and MinHash bands and sketch of its distinct shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_digest
+        from hashlib import sha256
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(1).to_pylist()
+                digests = [sha256((t or "").encode("utf-8", "surrogatepass")).digest()[:16] for t in texts]
+                keys, bits = signatures([_hashed(t, size) for t in texts])
+                columns = [pa.array(list(c), pa.list_(pa.int64())) for c in (keys, bits)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), *columns], ["doc_id", "digest", "keys", "bits"])
+
+    return run
+
 
+def similar(first: DataFrame) -> DataFrame:
+    """Links (a, b) that connect rows of first (doc_id, keys, bits) which share a band and whose sketches differ little."""
+    bits = [f"b{k}" for k in range(BITS // 64)]
+    rows = first.select(F.posexplode("keys").alias("seg", "key"), F.col("doc_id").alias("rep"), F.lit(True).alias("own"), *[F.get("bits", k).alias(b) for k, b in enumerate(bits)])
+    dealt = rows.repartition(partitions(first), "seg", "key").sortWithinPartitions("seg", "key")
+    return dealt.mapInPandas(_search(DIFFER, tuple(bits)), "a long, b long")
+
+
+def _shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [np.unique(np.frombuffer(b"".join([xxh64_digest(p, SEED) for p in set(shingles(t, size))]), "<i8")) for t in part.column(2).to_pylist()]
+                sets = [_hashed(t, size) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "component_id", "words"])
 
     return run
@@ -278,22 +310,21 @@ def _settle(left: DataFrame, similarity: float) -> DataFrame:
         left = judged.filter("not alike").select("doc_id", "component_id", "words")
 
 
-def deduplicate(docs: DataFrame, most: int = 7, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when one document of each group of near copies is kept.
 
-    Equal texts are one group; the row with the smallest doc_id stays, and a repeated row once. Distinct texts whose
-    fingerprints (of distinct word pairs) are linked within `most` bits are compared by their sets of `size`-word shingles,
-    in ascending doc_id: what has a Jaccard similarity of at least `similarity` to a document that stays goes. Null and empty
-    texts are equal to each other; of those one stays. A null doc_id counts as larger than any other. An empty table stays
-    empty; all columns are kept.
+    Equal texts are one group; the row with the smallest doc_id stays, and a repeated row once. Distinct texts are linked
+    by MinHash of their sets of `size`-word shingles (bands made for a similarity of 0.8 and more), and linked ones compared
+    by those sets, in ascending doc_id: what has a Jaccard similarity of at least `similarity` to a document that stays goes.
+    Null and empty texts are equal to each other; of those one stays. A null doc_id counts as larger than any other. An empty
+    table stays empty; all columns are kept.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stored(ids.mapInArrow(_sets, "doc_id long, digest binary, fp long"), "seen")
-    first = stored(seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")), "first")
-    n = first.count()
-    grouped = first.join(_grouped(first, most, segments_for(n, most)), "fp").filter("doc_id is not null").select("doc_id", "component_id", "digest")
-    many = grouped.groupBy("component_id").count().filter("count > 1").select("component_id")
-    members = stored(grouped.join(many, "component_id"), "members")
+    seen = stored(ids.mapInArrow(_sets(size), "doc_id long, digest binary, keys array<long>, bits array<long>"), "seen")
+    first = stored(seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "first")
+    known = first.filter("doc_id is not null")
+    roots = components(similar(known)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    members = stored(known.select("doc_id", "digest").join(roots, "doc_id"), "members")
     tagged = docs.withColumn("_digest", F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32)))
     held = tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_digest").alias("digest"))
     held = held.join(members, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "component_id", "text")

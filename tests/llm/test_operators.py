@@ -247,6 +247,32 @@ def test_one_of_each_near_copy_stays(docs, rows, empty):
     assert not ids & {301, 302, 303} and jaccard(rows[-1][1], rows[0][1]) < 0.1
 
 
+def near_copies() -> list[tuple[int, str, int | None]]:
+    """Originals, and a copy of each at a similarity of 0.8 to 0.9 or just below 0.8: a block added at the end, at the start, or
+    words replaced. Rows: doc_id, text, doc_id of the original."""
+    rng, out = random.Random(8), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    for n in range(240):
+        w = [word() for _ in range((60, 200, 600)[n % 3])]
+        more = [word() for _ in range(int(len(w) * (0.12, 0.2, 0.24)[n // 3 % 3]))]
+        if n % 4 < 2:
+            copy = w + more if n % 4 else more + w
+        else:
+            at = set(rng.sample(range(len(w)), max(1, len(w) // (50, 46, 42)[n // 3 % 3])))
+            copy = [word() if k in at else x for k, x in enumerate(w)]
+        out += [(2 * n, " ".join(w), None), (2 * n + 1, " ".join(copy), 2 * n)]
+    return out
+
+
+def test_no_pair_of_near_copies_is_missed(spark):
+    made = near_copies()
+    text = {d: t for d, t, _ in made}
+    gone = {d for d, t, of in made if of is not None and jaccard(t, text[of]) >= 0.8}
+    assert 150 < len(gone) < 240
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame([r[:2] for r in made], "doc_id long, text string")).collect()}
+    assert set(text) - kept == gone
+
+
 @pytest.mark.parametrize("task, heads", [(1500, 250), (10, 4), (7, 50)])
 def test_large_components_are_settled_alike(spark, monkeypatch, task, heads):
     monkeypatch.setattr(simhash, "TASK", task)
