@@ -21,12 +21,19 @@ RULES = {
     "exclaims": ("n_exclaims / greatest(n_words, 1)", "most", 0.05, 0.3),
     "letters": ("n_letters / greatest(word_chars, 1)", "least", 0.9, 0.8),
     "bare_symbols": ("n_bare / greatest(n_words, 1)", "most", 0.02, 0.1),
-    "variety": ("n_distinct / least(greatest(n_words, 1), 400)", "least", 0.3, 0.15),
+    "variety": ("n_distinct / greatest(n_words, 1)", "least", 0.3, 0.15),
 }
 
+#: Words of a block in which distinct words are counted: in a whole text their share would fall with its length.
+BLOCK = 400
+
 
 def measures(docs: DataFrame) -> DataFrame:
-    """Counts over every whole text; a null text has no words. All times are linear or n log n in the words of a text."""
+    """Counts over every whole text; a null text has no words. All times are linear or n log n in the words of a text.
+
+    n_distinct adds up the distinct words of each block of BLOCK words, so n_distinct / n_words is the mean variety of the
+    blocks, weighed by their words.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("*", F.filter(F.split(text, SPACE), lambda w: w != "").alias("_words"), F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0).alias("_lines"))
     base = base.withColumn("_n", F.size("_words"))
@@ -50,7 +57,7 @@ def measures(docs: DataFrame) -> DataFrame:
         count(less("!")).alias("n_exclaims"),
         count(F.length(text) - F.length(F.regexp_replace(text, "\\p{L}+", ""))).alias("n_letters"),
         count(F.size(F.filter("_words", lambda w: ~w.rlike("[\\p{L}\\p{N}]")))).alias("n_bare"),
-        count(F.size(F.array_distinct(F.slice("_words", 1, 400)))).alias("n_distinct"),
+        count(F.aggregate(F.sequence(F.lit(0), F.greatest(F.floor((F.col("_n") - 1) / BLOCK), F.lit(0)).cast("int")), F.lit(0), lambda n, k: n + F.size(F.array_distinct(F.slice("_words", k * BLOCK + 1, BLOCK))))).alias("n_distinct"),
     )
 
 

@@ -419,6 +419,18 @@ def test_measures_of_odd_texts(spark):
     assert {r.doc_id: tuple(r[n] for n in names) for r in quality.judge(df).collect()} == {k: plain_measures(t) for k, t in enumerate(texts)}
 
 
+def test_variety_sees_the_whole_text(spark):
+    rng = random.Random(2)
+    rich = lambda n: [f"word{rng.randint(0, 10**6)}" for _ in range(n)]
+    poor = lambda n: [rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh"]) for _ in range(n)]
+    texts = [rich(400) + poor(4000), poor(400) + rich(4000), rich(300), poor(300), poor(400), rich(401), []]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = quality.measures(df).select("doc_id", "n_distinct", quality.vote("variety").alias("v")).collect()
+    blocks = lambda w: sum(len(set(w[k : k + 400])) for k in range(0, len(w), 400))
+    assert {r.doc_id: r.n_distinct for r in got} == {k: blocks(w) for k, w in enumerate(texts)}
+    assert [r.v for r in sorted(got)] == [0, 1, 1, 0, 0, 1, 0]
+
+
 @pytest.mark.xfail(reason="known weakness: on few, almost independent bad votes EM drifts to calling every text good", strict=True)
 def test_weak_supervision_learns_from_votes():
     patterns = [((1,) * 8, 850), ((0, *[1] * 7), 40), ((1, 0, *[1] * 6), 40), ((0, 0, *[1] * 6), 20), ((-1,) * 8, 5)]
