@@ -192,6 +192,18 @@ def test_chunk_deduplication(docs, rows, empty):
     assert {200, 201, 202, 203, 204} <= {r.doc_id for r in got} and {101, 107} <= {r.doc_id for r in got}
 
 
+def test_short_passages_in_other_contexts_are_found(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([2, 3, 3, 4, 4, 5, 6]))) for _ in range(4000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    made = []
+    for n in range(300):
+        passage = some(51)
+        made += [(n, " ".join(some(60) + passage + some(60))), (1000 + n, " ".join(some(90) + passage + some(60)))]
+    got = {r.doc_id: r for r in chunks.deduplicate(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(1000, 1300)) and all(r.owners == [d - 1000] for d, r in got.items())
+
+
 # 5
 def plain_print(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
