@@ -18,7 +18,7 @@ from docloom.llm.common import stored
 
 #: Words in a window; an item with fewer is one window, but one with fewer than SHORTEST is never looked for.
 WIDTH, SHORTEST = 8, 5
-#: Words in a window that must be no placeholder.
+#: Words in a window that must be no placeholder; a window with fewer is looked for word by word.
 LITERALS = 3
 #: Share of an item's words that matching windows must cover for a document to count as contaminated.
 SHARE = 0.5
@@ -50,8 +50,8 @@ class Words:
         self.number[raw] = len(self.rows) - 1
         return len(self.rows) - 1
 
-    def look(self, words: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Template hash and kind of each word. first: places where a text or line starts. A capital letter makes a name
+    def look(self, words: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash and kind of each word, hash of its plain form, and whether it is no name for its place only. first: places where a text or line starts. A capital letter makes a name
         only inside a sentence."""
         if len(self.rows) > self.most:
             self.rows, self.number = [], {}
@@ -62,27 +62,31 @@ class Words:
         begins = np.zeros(len(ids), bool)
         begins[1:] = ends[:-1]
         begins[first[first < len(ids)]] = True
-        kind = np.where((kind == CAPITAL) & begins, LITERAL, kind)
-        return np.where(kind > 0, self.mark[kind], h), kind
+        opens = (kind == CAPITAL) & begins
+        kind = np.where(opens, LITERAL, kind)
+        return np.where(kind > 0, self.mark[kind], h), kind, h, opens
 
 
 _WORDS: list[Words] = []
 
 
 def windows(texts: list[str | None], widths: list[int], whole: bool = False):
-    """All template windows of texts: text number, place, hash, width; and the words, their kinds and where texts start.
+    """All windows of texts: text number, place, hash, width, is it raw; and the words, their kinds and where texts start.
 
+    A window with LITERALS plain words has its template's hash. One that has fewer, or would have inside a sentence, has
+    the hash of its raw words (too), so that windows full of placeholders are found where they are copied word for word.
     whole: texts shorter than WIDTH words are one window of their own length (benchmark items).
     """
     if not _WORDS:
         _WORDS.append(Words())
+    none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
     split = [(t or "").split() for t in texts]
     sizes = np.array([len(s) for s in split], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     words = [w for s in split for w in s]
     if not words:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), words, np.zeros(0, np.uint8), starts)
-    tokens, kinds = _WORDS[0].look(words, starts[:-1][sizes > 0])
+        return *none, words, np.zeros(0, np.uint8), starts
+    tokens, kinds, plain_hash, opens = _WORDS[0].look(words, starts[:-1][sizes > 0])
     owner = np.repeat(np.arange(len(texts)), sizes)
     plain = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
     out = []
@@ -94,11 +98,19 @@ def windows(texts: list[str | None], widths: list[int], whole: bool = False):
         for j in range(width):
             h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + n]
             h ^= h >> np.uint64(29)
-        at = np.flatnonzero((owner[:n] == owner[width - 1 :]) & (plain[width:][:n] - plain[:n] >= min(LITERALS, width)))
-        if whole:
-            at = at[sizes[owner[at]] == width] if width < WIDTH else at
-        out.append((owner[at], at - starts[owner[at]], h[at], np.full(len(at), width)))
-    return (*(np.concatenate(c) for c in zip(*out)), words, kinds, starts) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), words, kinds, starts)
+        one, literals = owner[:n] == owner[width - 1 :], plain[width:][:n] - plain[:n]
+        for raw in (False, True):
+            at = np.flatnonzero(one & (literals - opens[:n] < min(LITERALS, width) if raw else literals >= min(LITERALS, width)))
+            if whole:
+                at = at[sizes[owner[at]] == width] if width < WIDTH else at
+            key = h[at]
+            if raw:
+                key = np.full(len(at), width ^ MASK, np.uint64)
+                for j in range(width):
+                    key = key * np.uint64(0x9E3779B97F4A7C15) + plain_hash[at + j]
+                    key ^= key >> np.uint64(29)
+            out.append((owner[at], at - starts[owner[at]], key, np.full(len(at), width), np.full(len(at), raw)))
+    return (*(np.concatenate(c) for c in zip(*out)), words, kinds, starts) if out else (*none, words, kinds, starts)
 
 
 def _slots(words: list[str], kinds: np.ndarray, at: int, width: int) -> list[str]:
@@ -110,13 +122,13 @@ def _emit(batches: Iterator[pa.RecordBatch], widths: list[int], whole: bool, bit
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
-            owner, place, h, width, words, kinds, starts = windows(part.column(2).to_pylist(), widths, whole)
+            owner, place, h, width, raw, words, kinds, starts = windows(part.column(2).to_pylist(), widths, whole)
             if bits is not None:
                 size = np.uint64(len(bits) * 8 - 1)
                 a, b = h & size, (h >> np.uint64(32)) & size
                 hit = (bits[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1
-                owner, place, h, width = (c[hit == 1] for c in (owner, place, h, width))
-            slots = [_slots(words, kinds, s, w) for s, w in zip((starts[owner] + place).tolist(), width.tolist())]
+                owner, place, h, width, raw = (c[hit == 1] for c in (owner, place, h, width, raw))
+            slots = [[] if r else _slots(words, kinds, s, w) for s, w, r in zip((starts[owner] + place).tolist(), width.tolist(), raw.tolist())]
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(take), part.column(1).take(take), pa.array((starts[owner + 1] - starts[owner]).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(width.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
@@ -143,7 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     """Pairs of documents and benchmark items whose template they hold: doc_id, key, item_id, item_words, n_matched, exact.
 
     A pair counts if windows aligned with consistent slots cover at least `share` of the item's words. exact: all slot
-    values are the item's own. Words split at white space; whole texts are read. Null and empty texts match nothing, nor do
+    values are the item's own. Windows with fewer than LITERALS plain words match word for word only. Words split at white space; whole texts are read. Null and empty texts match nothing, nor do
     items of fewer than SHORTEST words. key is a hash of id and text, which tells apart rows with equal or null ids; equal
     rows give one pair. Either table empty: no rows. Other columns are not read.
     """

@@ -351,6 +351,15 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_items_of_numbers_and_names_are_found_word_for_word(spark):
+    items = ["12, 15, 18, 21, 24, 27, 30, 33, 36, 39, 42, 45", "Anna Berta Carla Dora Emma Frida Greta Hanna Ida Jana", "GIVE THE SUM OF ALL PRIME NUMBERS BELOW NINETY AND TEN", "3 4 5 6 7"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"And so it goes on: {t} and then it ends here." for t in items] + [f"we know {t} and more of it" for t in items] + ["we saw 12, 15, 18, 99, 24, 27, 31, 33, 36, 40, 42, 45 in it", "we met Anna Berta Carla Zoe Emma Frida Xenia Hanna Ida there", "3 4 5 6 8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.exact) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(k, k % 4, True) for k in range(8)}
+
+
 # 8
 @pytest.mark.parametrize(
     "html, text",
