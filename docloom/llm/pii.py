@@ -156,7 +156,8 @@ def plausible(kind: str, piece: str) -> bool:
 
 def tag_texts(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans of each text. Windows overlap by half; their scores are averaged, the middle of a window counting most, and
-    each stretch of windows is decoded as one, so that no span depends on where a window ends."""
+    each stretch of windows, however long, is decoded as one, so that no span depends on where a window ends. Of a stretch
+    only the best scores so far and a byte for each tag and place are held."""
     jobs: list[tuple[int, int]] = []
     for n, text in enumerate(texts):
         at, seen = TRIGGER.search(text), -1
@@ -168,17 +169,28 @@ def tag_texts(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]
             at = TRIGGER.search(text, (last + 1) * STRIDE) if at.end() < (last + 1) * STRIDE else TRIGGER.search(text, at.end())
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)[:, None]
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    scores: dict[tuple[int, int], np.ndarray] = {}
-
-    def decode(n: int, run: list[int]) -> None:
-        start, end = run[0] * STRIDE, min(run[-1] * STRIDE + WINDOW, len(texts[n]))
-        total, mass = np.zeros((end - start, len(TAGS))), np.zeros((end - start, 1))
-        for w in run:
-            size = min(WINDOW, end - w * STRIDE)
-            part = slice(w * STRIDE - start, w * STRIDE - start + size)
-            total[part] += (scores.pop((n, w)) * weight)[:size]
-            mass[part] += weight[:size]
-        path, k = model.viterbi(total / mass), 0
+    score, backs, start = None, [], 0
+    held: tuple[np.ndarray, np.ndarray] | None = None  # what the last window adds to the next one's first half
+
+    def add(n: int, w: int, em: np.ndarray) -> None:
+        nonlocal score, held, start
+        size = min(WINDOW, len(texts[n]) - w * STRIDE)
+        total, mass = (em * weight)[:size], weight[:size].copy()
+        if held is None:
+            start = w * STRIDE
+        else:
+            total[: len(held[0])] += held[0]
+            mass[: len(held[1])] += held[1]
+        score, back = model.forward(total[:STRIDE] / mass[:STRIDE], score)
+        backs.append(back)
+        held = total[STRIDE:], mass[STRIDE:]
+
+    def decode(n: int) -> None:
+        nonlocal score, held
+        score, back = model.forward(held[0] / held[1], score)
+        path, k = model.trace(score, np.concatenate([*backs, back])), 0
+        score, held = None, None
+        backs.clear()
         while k < len(path):
             if path[k] % 2:
                 stop = k + 1
@@ -191,18 +203,16 @@ def tag_texts(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]
             else:
                 k += 1
 
-    run: list[int] = []
+    last: tuple[int, int] | None = None
     for at in range(0, len(jobs), 256):
         part = jobs[at : at + 256]
-        for job, em in zip(part, model.emissions(np.stack([encode(texts[n][w * STRIDE : w * STRIDE + WINDOW], WINDOW) for n, w in part]))):
-            scores[job] = em
-        for k, (n, w) in enumerate(part, at):
-            if run and (jobs[k - 1][0] != n or w != run[-1] + 1 or len(run) >= 200):
-                decode(jobs[k - 1][0], run)
-                run = []
-            run.append(w)
-    if run:
-        decode(jobs[-1][0], run)
+        for (n, w), em in zip(part, model.emissions(np.stack([encode(texts[n][w * STRIDE : w * STRIDE + WINDOW], WINDOW) for n, w in part]))):
+            if last and last != (n, w - 1):
+                decode(last[0])
+            add(n, w, em)
+            last = n, w
+    if last:
+        decode(last[0])
     return found
 
 

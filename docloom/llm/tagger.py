@@ -126,15 +126,25 @@ class Tagger:
                 self.w[name] = (self.w[name] - pace * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
         return losses
 
-    def viterbi(self, em: np.ndarray) -> list[int]:
-        """The best tags for scores of time, tags."""
-        trans = self.w["trans"] + self.banned
-        score, back = self.w["start"] + self.first + em[0], []
-        for row in em[1:]:
+    def forward(self, em: np.ndarray, score: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Best scores after em (time, tags) that follows what gave score, and where each came from."""
+        trans, back = self.w["trans"] + self.banned, np.zeros(em.shape, np.uint8)
+        for k, row in enumerate(em):
+            if score is None:
+                score = self.w["start"] + self.first + row
+                continue
             all_ = score[:, None] + trans
-            back.append(all_.argmax(axis=0))
+            back[k] = all_.argmax(axis=0)
             score = all_.max(axis=0) + row
+        return score, back
+
+    def trace(self, score: np.ndarray, back: np.ndarray) -> list[int]:
+        """The best tags that end in score."""
         path = [int(score.argmax())]
-        for b in reversed(back):
+        for b in back[:0:-1]:
             path.append(int(b[path[-1]]))
         return path[::-1]
+
+    def viterbi(self, em: np.ndarray) -> list[int]:
+        """The best tags for scores of time, tags."""
+        return self.trace(*self.forward(em))

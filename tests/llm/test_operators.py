@@ -74,6 +74,24 @@ def test_tagger_learns_and_windows_agree():
     assert pii.tag_texts(model, ["no digits here " * 50, ""]) == [[], []]
 
 
+def test_long_stretches_are_decoded_as_one():
+    rng, model = random.Random(5), pii.trained()
+    text = " ".join("an er th " + "[.]".join(str(rng.randint(10, 255)) for _ in range(4)) + " is" for _ in range(900))
+    total, mass = np.zeros((len(text), len(pii.TAGS))), np.zeros((len(text), 1))
+    weight = np.minimum(np.arange(1, 97), np.arange(96, 0, -1)).astype(float)[:, None]
+    for at in range(0, len(text), 48):
+        part = text[at : at + 96]
+        total[at : at + 96] += (model.emissions(np.stack([pii.encode(part, 96)]))[0] * weight)[: len(part)]
+        mass[at : at + 96] += weight[: len(part)]
+    want, path = [], [*model.viterbi(total / mass), 0]
+    for k in range(len(text)):
+        if path[k] % 2:
+            stop = next(j for j in range(k + 1, len(path)) if path[j] != path[k] + 1)
+            want += [(pii.TAGS[path[k]][2:], k, stop)] if pii.plausible(pii.TAGS[path[k]][2:], text[k:stop]) else []
+    found = pii.tag_texts(model, ["", text, "x 1"])[1]
+    assert len(text) > 20000 and len(want) > 200 and found == want and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
 def test_personal_data(docs, rows, empty):
     model = pii.trained()
     got = pii.personal_data(docs, model).collect()
