@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 MARKS = [("EFBBBF", "utf-8"), ("FFFE0000", "utf-32le"), ("0000FEFF", "utf-32be"), ("FFFE", "utf-16le"), ("FEFF", "utf-16be")]
 CODE_PAGES = {"windows-874": "cp874", "windows-1250": "cp1250", "windows-1251": "cp1251", "windows-1252": "cp1252", "windows-1253": "cp1253", "windows-1254": "cp1254", "windows-1255": "cp1255", "windows-1256": "cp1256", "windows-1257": "cp1257", "windows-1258": "cp1258", "windows-932": "cp932"}
 REFUSED = ("windows-936", "windows-949", "windows-950")
-SECRETS = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private", "auth", "session", "cookie", "bearer", "passphrase", "signature")
+SECRETS = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "privatekey", "private_key", "private-key", "accesskey", "access_key", "access-key", "credential", "auth")
 
 
 def digest(content: Column) -> Column:
@@ -44,8 +44,8 @@ def decode(content: bytes, name: str) -> str:
 
 
 def detect(text: Column, path: Column) -> Column:
-    """Candidate families of a document by its first characters and its path, in a fixed order; more than one is ambiguous."""
-    first = F.substring(F.ltrim(F.regexp_replace(text, "^﻿", "")), 1, 200)
+    """Candidate families of a document by how it begins, what it holds and its path, in a fixed order; more than one is ambiguous."""
+    first = F.ltrim(F.regexp_replace(text, "^\ufeff", ""))
     end = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     tests = [
         ("plist", first.contains("<plist") | first.startswith("bplist00") | (end == "plist")),

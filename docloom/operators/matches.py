@@ -106,7 +106,7 @@ def reachable(matches: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def take(matches: DataFrame, count: int) -> DataFrame:
     """The first matches of each document."""
-    return matches.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).filter(F.col("_n") <= count).drop("_n")
+    return matches.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).filter(F.col("_n") <= min(count, (1 << 31) - 1)).drop("_n")
 
 
 def distinct(matches: DataFrame) -> DataFrame:

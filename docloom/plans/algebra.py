@@ -95,11 +95,14 @@ def validate(query: Query) -> str:
             value = node.args[name]
             if not isinstance(value, KINDS[kind]) or (kind == "Integer" and (isinstance(value, bool) or value < 0)):
                 raise InvalidQuery("core.query.argument-kind@1", f"{op.name}: {name} must be {kind}")
-        if op.words and next(iter(node.args.values())) not in op.words:
+        if op.words and node.args[op.chosen or next(iter(op.args))] not in op.words:
             raise InvalidQuery("core.query.argument-vocabulary@1", f"{op.name}: {node.args}")
+        if op.name == "core.take" and node.args["count"] >= 1 << 64:
+            raise InvalidQuery("core.query.argument-vocabulary@1", "a count of more than 64 bits")
         if op.name.endswith("where-tag") and not node.args["tag"]:
             raise InvalidQuery("core.query.argument-vocabulary@1", "an empty tag")
-        if op.name == "properties.property-key-equals" and len(node.args["key"]) % 2:
+        units = {"properties.property-key-equals": "key", "properties.syntax-utf16be-equals": "code_units"}.get(op.name)
+        if units and len(node.args[units]) % 2:
             raise InvalidQuery("core.query.argument-vocabulary@1", "an odd number of bytes")
         return came if op.target == "*" else op.target
 

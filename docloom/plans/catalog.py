@@ -17,7 +17,8 @@ class Operator:
     act: str
     what: str = ""  # role(s), column or condition
     args: dict[str, str] = field(default_factory=dict)
-    words: tuple[str, ...] = ()  # closed vocabulary of the first argument
+    words: tuple[str, ...] = ()  # closed vocabulary of the argument that `chosen` names, or the first
+    chosen: str | None = None
 
 
 def _table(text: str) -> list[Operator]:
@@ -25,7 +26,8 @@ def _table(text: str) -> list[Operator]:
     for line in text.strip().splitlines():
         name, source, target, act, what, *rest = [x.strip() for x in line.split("|")]
         args = dict(a.split(":") for a in rest[0].split(",")) if rest and rest[0] else {}
-        out.append(Operator(name, source, target, act, what, args, tuple(rest[1].split(",")) if len(rest) > 1 else ()))
+        chosen, _, words = rest[1].rpartition(":") if len(rest) > 1 else ("", "", "")
+        out.append(Operator(name, source, target, act, what, args, tuple(words.split(",")) if words else (), chosen or None))
     return out
 
 
@@ -99,8 +101,8 @@ DOMAINS: dict[str, tuple[str, list[Operator]]] = {
         ini.section-entries | IniSection | IniEntry | expand | IniEntry
         ini.all-entries | IniDocument | IniEntry | gate | IniEntry
         ini.entry-section | IniEntry | IniSection | hop | target_id
-        ini.section-name-equals | IniSection | IniSection | filter | CASE {comparison} WHEN 'OriginalExact' THEN name = {name} ELSE cmp_name = {name:fold} END | name:String,comparison:String
-        ini.entry-key-equals | IniEntry | IniEntry | filter | CASE {comparison} WHEN 'OriginalExact' THEN name = {key} ELSE cmp_name = {key:fold} END | key:String,comparison:String
+        ini.section-name-equals | IniSection | IniSection | filter | CASE {comparison} WHEN 'OriginalExact' THEN name = {name} ELSE cmp_name = CASE tag WHEN 'lower' THEN lower({name}) ELSE {name} END END | name:String,comparison:String | comparison:OriginalExact,ProfileEquivalent
+        ini.entry-key-equals | IniEntry | IniEntry | filter | CASE {comparison} WHEN 'OriginalExact' THEN name = {key} ELSE cmp_name = CASE tag WHEN 'lower' THEN lower({key}) ELSE {key} END END | key:String,comparison:String | comparison:OriginalExact,ProfileEquivalent
         ini.entry-value-state-is | IniEntry | IniEntry | filter | state = {state} | state:String | Missing,Empty,Present
         ini.duplicate-group | * | * | group | dup_group
         ini.physical-lines | IniDocument | IniPhysicalLine | expand | IniPhysicalLine

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,6 +26,8 @@ class Result:
 
     def ordered(self, *columns: str) -> DataFrame:
         """doc_id, pos (from 0 in each document) and columns."""
+        if "pos" in self.matches.columns:
+            return self.matches.select("doc_id", "pos", *columns)
         pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")).cast("long") - 1
         return self.matches.select("doc_id", pos.alias("pos"), *columns)
 
@@ -38,11 +41,7 @@ def _literal(value) -> str:
 
 
 def _condition(op: Operator, args: dict, text: str) -> Column:
-    for name, value in args.items():
-        if isinstance(value, str):
-            text = text.replace(f"{{{name}:fold}}", f"lower({_literal(value)})")
-        text = text.replace(f"{{{name}}}", _literal(value))
-    return F.expr(text)
+    return F.expr(re.sub(r"\{(\w+)\}", lambda m: _literal(args[m[1]]), text))
 
 
 class Compiler:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.plans.algebra import Apply, Concat, Input, Query, StructureOrderMerge, chain
-from docloom.plans.compile import run
+from docloom.plans.inline import query_documents
 from docloom.sources.scan import scan
 
 #: Every fifth customer's document repeats a key.
@@ -59,30 +59,35 @@ def _binary(customer: DataFrame) -> DataFrame:
     return customer.select("c_custkey", "c_mktsegment").mapInArrow(make, "doc_id long, content binary")
 
 
-_TABLES: dict = {}
-
-
 def documents(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in SETS:
+        return SETS[name][1](spark, sf_dir)
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return _binary(customer) if name == "binary" else rendered(customer, name)
+    return rendered(customer, name)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"))
+
+
+#: Further document sets: profile, and documents from whole tables.
+SETS: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {"events": ("json.strict@1", _events), "binary": ("plist.binary@1", lambda spark, sf_dir: _binary(spark.read.parquet(f"{sf_dir}/customer.parquet")))}
+
+
+def profile_of(name: str) -> str:
+    return SETS[name][0] if name in SETS else TEXTS[name][0]
 
 
 def nodes(spark: SparkSession, sf_dir: str, name: str, pieces: bool = False, view: str | None = None) -> DataFrame:
-    """The node table of a document set, kept in memory (or on disk) while this session runs."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, pieces, view)
-    if key not in _TABLES:
-        if name == "events":
-            events = spark.read.parquet(f"{sf_dir}/events.parquet")
-            table = scan(events.select(F.col("event_id").alias("doc_id"), F.col("props").alias("text")), "json.strict@1")
-        else:
-            profile = "plist.binary@1" if name == "binary" else TEXTS[name][0]
-            table = scan(documents(spark, sf_dir, name), profile, pieces, view)
-        _TABLES[key] = table.persist()
-    return _TABLES[key]
+    """The node table of a document set."""
+    return scan(documents(spark, sf_dir, name), profile_of(name), pieces, view)
 
 
 Row = tuple  # pos, SQL of the value, condition
 REGISTERED: dict[str, tuple[Callable, str | None]] = {}
+#: The registered queries that are query trees: the query, its document set and view.
+QUERIES: dict[str, tuple[Query, str, str | None]] = {}
 
 
 def _sql(rows: list[Row], table: str = "customer", key: str = "c_custkey") -> str:
@@ -101,10 +106,10 @@ def add(name: str, source: str, steps, column: str, rows: list[Row] | str, *, se
     first = steps[0] if isinstance(steps, list) else None
     domain = domain or _default(first if isinstance(first, str) else first[0])
     query = chain(domain, *steps, selection=selection) if isinstance(steps, list) else Query(domain, steps, selection)
-    pieces = "syntax" in domain
+    QUERIES[name] = (query, source, view)
 
     def act(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = run(query, nodes(spark, sf_dir, source, pieces, view))
+        result = query_documents(query, documents(spark, sf_dir, source), profile_of(source), view)
         if failures:
             return result.failures.select("doc_id", F.lit(0).cast("long").alias("pos"), F.col("code").alias("value"))
         return result.ordered(F.expr(column).cast("string").alias("value"))
@@ -143,7 +148,7 @@ def _json() -> None:
     add("json5_syntax_identifiers", "json5", [("json.syntax-kind-is", {"kind": "Identifier"})], "text", [(0, "'id'"), (1, "'x'")], domain="json.lossless-syntax-query@2")
     add("json5_member_value", "json5", [top, "json.member-value"], "text", [(0, K), (1, "'16'")], domain="json.native-semantic-query@2")
     REGISTERED["json_event_values"] = (
-        lambda spark, sf_dir: run(chain("json.native-semantic-query@1", top, ("json.member-name-equals", {"name": "k"}), "json.member-value"), nodes(spark, sf_dir, "events")).ordered(F.col("kind"), F.expr("CAST(text AS BIGINT)").alias("v")),
+        lambda spark, sf_dir: query_documents(chain("json.native-semantic-query@1", top, ("json.member-name-equals", {"name": "k"}), "json.member-value"), documents(spark, sf_dir, "events"), "json.strict@1").ordered(F.col("kind"), F.expr("CAST(text AS BIGINT)").alias("v")),
         "SELECT event_id AS doc_id, 0::BIGINT AS pos, 'Integer' AS kind, json_extract(props, '$.k')::BIGINT AS v FROM events",
     )
 
@@ -428,7 +433,7 @@ def _conversion() -> None:
 
     def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         query = chain("json.native-semantic-query@1", "json.try-object-members", ("json.member-name-equals", {"name": "name"}), "json.member-value")
-        at = run(query, nodes(spark, sf_dir, "json")).matches.select("doc_id", "start_byte", "end_byte", F.lit('"renamed"').alias("replacement"))
+        at = query_documents(query, documents(spark, sf_dir, "json"), "json.strict@1").matches.select("doc_id", "start_byte", "end_byte", F.lit('"renamed"').alias("replacement"))
         return edit(docs("json")(spark, sf_dir), at, "json.strict@1").select("doc_id", "status", "text", "untouched", (F.sha2(F.col("text"), 256) == F.col("target_digest")).alias("verified"))
 
     text = f"""'{{"id":' || {K} || ',"name":"renamed","tags":["' || {G} || '",' || {M_} || '],"sub":{{"x":1.50}}' || {dup("',\"id\":0'")} || '}}'"""

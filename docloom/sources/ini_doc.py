@@ -71,7 +71,7 @@ def parse(text: str, profile: str = "ini.portable@1") -> Tree:
                 tree.piece("SectionOpen", o, o + 1)
                 tree.piece("SectionName", o + 1, o + close)
                 tree.piece("SectionClose", o + close, o + close + 1)
-                section = tree.add("IniSection", "Default" if python and name == "DEFAULT" else None, root, o, e, len(sections), name=inner, cmp_name=inner.lower() if windows else inner)
+                section = tree.add("IniSection", "Default" if python and name == "DEFAULT" else None, root, o, e, len(sections), name=inner, cmp_name=inner.lower() if windows else inner, tag="lower" if windows else "exact")
                 sections.append(section)
                 last, indent = None, lead
         else:
@@ -97,7 +97,7 @@ def parse(text: str, profile: str = "ini.portable@1") -> Tree:
                 quoted = windows and value is not None and len(value) >= 2 and value[0] == value[-1] and value[0] in "\"'"
                 value = value[1:-1] if quoted else value
                 state = "Missing" if value is None else "Present" if value or quoted else "Empty"
-                last = tree.add("IniEntry", "Quoted" if quoted else None, section, s, e, len(entries), name=key, cmp_name=fold(key), text=value, state=state, target_id=section)
+                last = tree.add("IniEntry", "Quoted" if quoted else None, section, s, e, len(entries), name=key, cmp_name=fold(key), text=value, state=state, target_id=section, tag="exact" if fold is str else "lower")
                 entries.append(last)
                 indent = lead
         if b > e:

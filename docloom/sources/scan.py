@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.sources.tree import COLUMNS, SCHEMA, Failure, Tree, failed
+from docloom.sources.tree import COLUMNS, SCHEMA, Failure, Tree, bytes_of, failed
 
 MODULES = {"json": "json_doc", "jsonc": "json_doc", "json5": "json_doc", "toml": "toml_doc", "yaml": "yaml_doc", "ini": "ini_doc", "java-properties": "properties_doc", "xml": "xml_doc", "plist": "plist_doc", "hcl": "hcl_doc"}
 # The profiles that can be asked for.
@@ -45,6 +45,23 @@ def formed(content, profile: str) -> Tree | str:
         return "core.parse.depth@1"
 
 
+def viewed(tree: Tree | str, view: str | None) -> Tree | str:
+    """A tree, its graph, or its portable value as rows; failures stay what they are."""
+    if isinstance(tree, str) or view is None:
+        return tree
+    if view == "graph":
+        from docloom.sources.yaml_doc import graph
+
+        return graph(tree)
+    if tree.value is None:
+        return "core.projection.unavailable@1"
+    from docloom.functions.values import rows
+
+    out = Tree("")
+    rows(tree.value, out)
+    return out
+
+
 def scan(docs: DataFrame, profile: str, pieces: bool = False, view: str | None = None, partitions: int | None = None) -> DataFrame:
     """The node table of documents (doc_id, text or content), dealt out by doc_id.
 
@@ -53,23 +70,12 @@ def scan(docs: DataFrame, profile: str, pieces: bool = False, view: str | None =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from docloom.functions.values import rows
-        from docloom.sources.yaml_doc import graph
-
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, found = [], []
                 part = batch.slice(at, 500)
                 for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tree = formed(content, profile)
-                    if isinstance(tree, Tree) and view == "graph":
-                        tree = graph(tree)
-                    elif isinstance(tree, Tree) and view == "value":
-                        value, tree = tree.value, Tree("")
-                        if value is None:
-                            tree = "core.projection.unavailable@1"
-                        else:
-                            rows(value, tree)
+                    tree = viewed(formed(content, profile), view)
                     table = failed(tree) if isinstance(tree, str) else tree.table(pieces)
                     ids += [doc] * len(table)
                     found += table

@@ -73,14 +73,7 @@ class Tree:
 
     def table(self, pieces: bool) -> list[tuple]:
         """Node rows: the document (0), its entities, diagnostics, and pieces if asked for."""
-        if self.text.isascii():
-            at = lambda k: k
-        else:
-            ends, total = [0], 0
-            for c in self.text:
-                total += len(c.encode("utf-8", "surrogatepass"))
-                ends.append(total)
-            at = ends.__getitem__
+        at = bytes_of(self.text)
         status = "Recovered" if self.diagnostics and any(not c.endswith("duplicate-member@1") for c, _, _ in self.diagnostics) else "Complete"
         out = [{"role": "Document", "kind": status, "end_byte": at(len(self.text))}]
         out += [r | {"start_byte": at(r["start_byte"]), "end_byte": at(r["end_byte"])} for r in self.rows]
@@ -90,5 +83,16 @@ class Tree:
         return [(n, *[r.get(c) for c in NAMES[1:]]) for n, r in enumerate(out)]
 
 
+def bytes_of(text: str):
+    """From a character offset in the text to the byte offset of its UTF-8 form."""
+    if text.isascii():
+        return lambda k: k
+    ends, total = [0], 0
+    for c in text:
+        total += 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+        ends.append(total)
+    return ends.__getitem__
+
+
 def failed(code: str) -> list[tuple]:
     return [tuple({"node_id": 0, "role": "Document", "kind": "Failed", "text": code}.get(c) for c in NAMES)]

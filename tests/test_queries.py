@@ -7,7 +7,10 @@ from docloom import registry
 from docloom.plans.algebra import Apply, Concat, Input, InvalidQuery, Query, StructureOrderMerge, chain, from_wire, to_wire, validate
 from docloom.plans.catalog import DOMAINS
 from docloom.plans.compile import run
+from docloom.plans.inline import query_documents
+from docloom.sources.files import save_nodes
 from docloom.sources.scan import scan
+from docloom.sources.tree import NAMES
 
 ORACLE = registry.oracle_sql()
 
@@ -44,10 +47,8 @@ def test_every_operator_has_a_query():
         for b in getattr(node, "branches", ()):
             walk(b)
 
-    for act, _ in registry.REGISTERED.values():
-        for cell in act.__closure__ or ():
-            if isinstance(cell.cell_contents, Query):
-                walk(cell.cell_contents.root)
+    for query, _, _ in registry.QUERIES.values():
+        walk(query.root)
     assert {o.name for _, ops in DOMAINS.values() for o in ops} - used == set()
 
 
@@ -59,6 +60,9 @@ def test_every_operator_has_a_query():
         (chain("json.native-semantic-query@1", ("core.take", {"count": -1})), "core.query.argument-kind@1"),
         (chain("json.native-semantic-query@1", "json.try-object-members", ("json.member-name-equals", {})), "core.query.arguments@1"),
         (chain("yaml.native-semantic-query@1", "yaml.documents", "yaml.document-root", ("yaml.where-node-kind", {"kind": "Tree"})), "core.query.argument-vocabulary@1"),
+        (chain("ini.native-semantic-query@1", "ini.document-sections", ("ini.section-name-equals", {"name": "a", "comparison": "bogus"})), "core.query.argument-vocabulary@1"),
+        (chain("java-properties.lossless-syntax-query@1", ("properties.syntax-utf16be-equals", {"code_units": b"abc"})), "core.query.argument-vocabulary@1"),
+        (chain("json.native-semantic-query@1", ("core.take", {"count": 1 << 64})), "core.query.argument-vocabulary@1"),
         (Query("core.portable-value-query@1", StructureOrderMerge((Input(),))), "core.query.target-unavailable@1"),
         (Query("json.native-semantic-query@1", Concat(())), "core.query.empty-branches@1"),
     ],
@@ -97,9 +101,71 @@ def test_empty_table(spark):
     assert run(chain("ini.native-semantic-query@1", "ini.all-entries"), scan(docs, "ini.portable@1")).matches.count() == 0
 
 
-def test_operators_join_without_a_second_shuffle(spark, sf_dir):
-    nodes = registry.nodes(spark, sf_dir, "json")
-    query = chain("json.native-semantic-query@1", "json.try-object-members", "json.member-value", "json.try-array-elements")
-    plan = run(query, nodes).matches._jdf.queryExecution().executedPlan().toString()
-    head = plan.split("InMemoryTableScan")[0]
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in head
+@pytest.fixture(scope="module")
+def kept(spark, sf_dir):
+    """Node tables of a few documents of each set, kept as a user would keep them."""
+    held = {}
+
+    def get(source, pieces, view):
+        if (source, pieces, view) not in held:
+            docs = registry.documents(spark, sf_dir, source).orderBy("doc_id").limit(12).persist()
+            held[source, pieces, view] = docs, scan(docs, registry.profile_of(source), pieces, view, partitions=1).persist()
+        return held[source, pieces, view]
+
+    yield get
+    for docs, nodes in held.values():
+        docs.unpersist()
+        nodes.unpersist()
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_scan_and_joins_agree(spark, kept, name):
+    query, source, view = registry.QUERIES[name]
+    docs, nodes = kept(source, "syntax" in query.domain or "hcl." in query.domain, view)
+    one, other = query_documents(query, docs, registry.profile_of(source), view), run(query, nodes)
+    shown = ["doc_id", *NAMES, "ord"]
+    rows = lambda r: sorted(map(repr, r.matches.select(*shown).collect()))
+    assert rows(one) == rows(other)
+    assert sorted(map(tuple, one.failures.collect())) == (sorted(map(tuple, other.failures.collect())) if other.failures is not None else [])
+
+
+FIVE = chain("json.native-semantic-query@1", "json.try-object-members", ("json.member-name-equals", {"name": "tags"}), "json.member-value", "json.try-array-elements", "json.array-element-value")
+
+
+def operators_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {k: plan.count(k) for k in ("MapInArrow", "MapInPandas", "Exchange", "Join", "InMemoryTableScan")}
+
+
+def test_a_chain_over_documents_parses_once_and_shuffles_nothing(spark, sf_dir):
+    found = query_documents(FIVE, registry.documents(spark, sf_dir, "json"), "json.strict@1")
+    assert operators_of(found.ordered("text")) == {"MapInArrow": 1, "MapInPandas": 0, "Exchange": 0, "Join": 0, "InMemoryTableScan": 0}
+
+
+def test_a_chain_over_a_kept_table_shuffles_nothing(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        save_nodes(registry.nodes(spark, sf_dir, "json"), "kept_nodes", 4)
+        found = operators_of(run(FIVE, spark.table("kept_nodes")).matches)
+        assert found["Exchange"] == 0 and found["MapInArrow"] == 0 and found["Join"] >= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.sql("DROP TABLE IF EXISTS kept_nodes")
+
+
+@pytest.mark.parametrize("profile, section, key, found", [("ini.windows@1", "MAIN", "ID", ["1", "2"]), ("ini.portable@1", "Main", "Id", ["1"]), ("ini.portable@1", "MAIN", "Id", []), ("ini.python-configparser@1", "Main", "ID", ["1", "2"]), ("ini.python-configparser@1", "MAIN", "ID", [])])
+def test_names_compare_as_their_profile_says(spark, profile, section, key, found):
+    docs = spark.createDataFrame([(1, "[Main]\nId=1\niD=2\n[other]\nId=3\n")], "doc_id long, text string")
+    like = {"comparison": "ProfileEquivalent"}
+    query = chain("ini.native-semantic-query@1", "ini.document-sections", ("ini.section-name-equals", {"name": section, **like}), "ini.section-entries", ("ini.entry-key-equals", {"key": key, **like}))
+    assert [r.text for r in query_documents(query, docs, profile).ordered("text").collect()] == found
+    assert [r.text for r in run(query, scan(docs, profile)).ordered("text").orderBy("pos").collect()] == found
+
+
+def test_arguments_that_look_like_others_stay_what_they_are(spark):
+    docs = spark.createDataFrame([(1, "<a><{local}/></a>".replace("{local}", "b")), (2, "<r/>")], "doc_id long, text string")
+    query = chain("xml.native-semantic-query@1", "xml.document-root", ("xml.name-equals", {"prefix": "{local}", "local": "a", "namespace": "", "comparison": "OriginalExact"}))
+    assert run(query, scan(docs, "xml.1.0-safe@1")).matches.count() == 0 == query_documents(query, docs, "xml.1.0-safe@1").matches.count()
