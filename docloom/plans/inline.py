@@ -233,7 +233,7 @@ class Evaluator:
         return m[:1] if kind == "First" else m[-1:] if kind == "Last" else m
 
 
-def query_documents(query: Query, docs: DataFrame, profile: str, view: str | None = None) -> Result:
+def query_documents(query: Query, docs: DataFrame, profile: str, view: str | None = None, encoding: str | None = None) -> Result:
     """The result of a query over documents (doc_id, text or content), each parsed once and answered on the spot.
 
     matches and failures come from one scan each; documents that cannot be formed have no match. The matches' ord is what
@@ -248,7 +248,7 @@ def query_documents(query: Query, docs: DataFrame, profile: str, view: str | Non
                 for at in range(0, batch.num_rows, 500):
                     part, ids, found, ords, spots = batch.slice(at, 500), [], [], [], []
                     for doc_id, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                        tree = viewed(formed(content, profile), view)
+                        tree = viewed(formed(content, profile, encoding), view)
                         if isinstance(tree, str):
                             continue
                         try:
@@ -260,7 +260,7 @@ def query_documents(query: Query, docs: DataFrame, profile: str, view: str | Non
                                 ids.append(doc_id)
                                 found.append(code)
                             continue
-                        at_byte = bytes_of(tree.text) if got else None
+                        at_byte = bytes_of(tree.text, tree.encoding) if got else None
                         for k, (r, o) in enumerate(got):
                             ids.append(doc_id)
                             found.append(tuple(at_byte(r[c]) if c in ("start_byte", "end_byte") and r.get(c) is not None else r.get(c) for c in NAMES))

@@ -75,6 +75,58 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SETS: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {"events": ("json.strict@1", _events), "binary": ("plist.binary@1", lambda spark, sf_dir: _binary(spark.read.parquet(f"{sf_dir}/customer.parquet")))}
 
 
+def _per_order(make: str, text: str, where: str = "true") -> Callable:
+    """Documents of orders: `make` renders a line, `text` the document, with lines in the order of their numbers."""
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+        line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", F.expr(make).alias("line"))
+        lines = items.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.line).alias("lines"))
+        return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).filter(where).select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
+
+    return read
+
+
+def _yaml_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    one = F.expr("struct(n_nationkey, concat('  - name: ', n_name, '\n    of: *r', n_regionkey, '\n    open: yes\n') AS line)").alias("x")
+    lists = nation.select("n_regionkey", one).groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.line), "").alias("body"))
+    text = F.expr("concat('%TAG !e! tag:example.org,2000:\n---\nregion: &r', r_regionkey, ' !e!region {name: ', r_name, ', größe: ', r_regionkey, '}\nnations:\n', body, '---\nlast: ~\n')")
+    return region.join(lists, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text"))
+
+
+def _parts(text: str, where: str = "true") -> Callable:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").filter(where).select(F.col("p_partkey").alias("doc_id"), F.expr(text).alias("text"))
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = r"concat('! caf\u00e9\ncaf\\u00e9\\ ', s_suppkey, ' = ', s_name, '\n', CASE WHEN s_suppkey % 4 = 0 THEN 'nation: 1\n' ELSE '' END, 'nation:', s_nationkey, '\n', 'long = a\\\n   b\\\n   c\n')"
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("doc_id"), F.expr(text).alias("text"))
+
+
+#: Orders whose id is repeated in their document, and orders whose document is cut off before its end.
+TWICE, CUT = "o_orderkey % 7 = 0", "o_orderkey % 11 = 0"
+SETS |= {
+    "json_orders": ("json.strict@1", _per_order(
+        """concat('{"no":', l_linenumber, ',"qty":', CAST(l_quantity AS INT), '}')""",
+        f"""concat('{{"id":', o_orderkey, ',"prio":"', o_orderpriority, '","lines":[', array_join(lines, ','), ']', CASE WHEN {TWICE} THEN ',"id":0' ELSE '' END, CASE WHEN {CUT} THEN '' ELSE '}}' END)""",
+    )),
+    "toml_orders": ("toml.1.0@1", _per_order(
+        """concat('[[line]]\nno = ', l_linenumber, '\nship = ', date_format(l_shipdate, 'yyyy-MM-dd'), '\nitem.part = ', l_partkey, '\n')""",
+        f"""concat('id = ', o_orderkey, '\n', CASE WHEN {CUT} THEN 'zero = \n' ELSE 'zero = -0.0\n' END, array_join(lines, ''))""",
+    )),
+    "xml_orders": ("xml.1.0-safe@1", _per_order(
+        """concat('<l:line no="', l_linenumber, '"><!-- n --><qty>', CAST(l_quantity AS INT), '&#x20;&amp;</qty><![CDATA[<', l_partkey, '>]]></l:line>')""",
+        f"""concat('<o:order xmlns:o="urn:o" xmlns:l="urn:l" id="', o_orderkey, '">', array_join(lines, ''), CASE WHEN {CUT} THEN '' ELSE '</o:order>' END)""",
+    )),
+    "yaml_regions": ("yaml.1.1-compat@1", _yaml_regions),
+    "hcl_parts": ("hcl.native@1", _parts("""concat('resource "part" "', p_partkey, '" {\n  name = "', p_name, '"\n', CASE WHEN p_partkey % 13 = 0 THEN '  lost = [1,\n' ELSE '' END, '  size = ', p_size, '\n  tags = ["', p_type, '", "$', '{var.x}-', p_brand, '"]\n}\n', CASE WHEN p_partkey % 17 = 0 THEN 'bad = \n' ELSE '' END, 'last = true\n')""")),
+    "properties_suppliers": ("java-properties.reader@1", _suppliers),
+    "ini_portable": ("ini.portable@1", _parts("concat('[Part]\nName=', p_name, '\nname=', p_type, '\n[part]\nName=other\n', CASE WHEN p_partkey % 5 = 0 THEN 'broken\n' ELSE '' END)")),
+    "ini_python": ("ini.python-configparser@1", _parts("concat('[Part]\nName: ', p_name, '\n  more\nSIZE = ', p_size, '\n[part]\nname=other\n')")),
+}
+
+
 def profile_of(name: str) -> str:
     return SETS[name][0] if name in SETS else TEXTS[name][0]
 
@@ -388,6 +440,62 @@ def _hcl() -> None:
     add("hcl_syntax_text_equals", "hcl", [("hcl.syntax-text-equals", {"text": "resource"})], "kind", [(0, "'Identifier'")], domain="hcl.lossless-syntax-query@1")
 
 
+def _sql_lines(value: str, where: str = "true", more: str = "") -> str:
+    """A row for each line of an order, in the order of numbers."""
+    lines = f"SELECT o_orderkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1 AS pos, ({value})::VARCHAR AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE {where}"
+    return lines + more
+
+
+def _sets() -> None:
+    """Operators over documents of whole orders, regions and parts: nested, repeated, cut off, and in other scripts."""
+    d = "json.native-semantic-query@1"
+    lines = ["json.try-object-members", ("json.member-name-equals", {"name": "lines"}), "json.member-value", "json.try-array-elements", "json.array-element-value"]
+    qty = [*lines, "json.try-object-members", ("json.member-name-equals", {"name": "qty"}), "json.member-value"]
+    add("json_orders_quantities", "json_orders", qty, "text", _sql_lines("l_quantity::INT"))
+    add("json_orders_last_line", "json_orders", [*lines, "json.try-object-members", ("json.member-name-equals", {"name": "no"}), "json.member-value"], "text", "SELECT l_orderkey::BIGINT AS doc_id, 0::BIGINT AS pos, max(l_linenumber)::VARCHAR AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1", selection="Last")
+    one = chain(d, "json.try-object-members", ("json.member-name-equals", {"name": "id"}), "json.member-value").root
+    add("json_orders_ids_distinct", "json_orders", Apply(Concat((one, one)), "core.distinct-by-identity"), "text", f"SELECT DISTINCT o_orderkey::BIGINT AS doc_id, 0::BIGINT AS pos, o_orderkey::VARCHAR AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT DISTINCT o_orderkey::BIGINT, 1::BIGINT, '0' FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE {TWICE}", domain=d)
+    add("json_orders_two_ids_failures", "json_orders", ["json.try-object-members", ("json.member-name-equals", {"name": "id"})], "name", f"SELECT DISTINCT o_orderkey::BIGINT AS doc_id, 0::BIGINT AS pos, 'core.query.cardinality-violation@1' AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE {TWICE}", selection="RequireOne", failures=True)
+    add("core_orders_numbers", "json_orders", ["core.try-object-entries", ("core.object-entry-name-equals", {"name": "lines"}), "core.object-entry-value", "core.try-sequence-elements", "core.try-object-entries", "core.object-entry-value"], "text", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS pos, CASE k WHEN 0 THEN l_linenumber::VARCHAR ELSE q END AS value FROM (SELECT o_orderkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS pos, l_linenumber, l_quantity::INT::VARCHAR AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE NOT ({TWICE}) AND NOT ({CUT})), (SELECT unnest([0, 1]) AS k)", view="value")
+    tables = ["toml.try-table-entries", ("toml.entry-name-equals", {"name": "line"}), "toml.entry-item", "toml.try-array-elements", "toml.array-element-item", "toml.try-table-entries"]
+    add("toml_orders_parts", "toml_orders", [*tables, ("toml.entry-name-equals", {"name": "item"}), "toml.entry-item", "toml.try-table-entries", "toml.entry-item"], "text", _sql_lines("l_partkey", f"NOT ({CUT})"))
+    add("toml_orders_dates", "toml_orders", [*tables, ("toml.entry-name-equals", {"name": "ship"}), "toml.entry-item"], "kind", _sql_lines("'LocalDate'", f"NOT ({CUT})"))
+    below = ["xml.document-root", "xml.element-descendants"]
+    add("xml_orders_quantities", "xml_orders", [*below, ("xml.name-equals", {"prefix": "", "local": "qty", "namespace": "", "comparison": "ExpandedName"}), "xml.element-child-text"], "text", _sql_lines("l_quantity::INT || ' &'"))
+    add("xml_orders_parts", "xml_orders", [*below, ("xml.name-equals", {"prefix": "l", "local": "line", "namespace": "", "comparison": "OriginalExact"}), "xml.element-child-cdata"], "text", _sql_lines("'<' || l_partkey || '>'"))
+    add("xml_orders_numbers", "xml_orders", [*below, "xml.element-attributes"], "text", _sql_lines("l_linenumber"))
+    mapping = ["yaml.documents", "yaml.document-root", "yaml.try-mapping-entries"]
+    items = [*mapping, "yaml.mapping-entry-value", "yaml.try-sequence-elements", "yaml.sequence-element-node", "yaml.try-mapping-entries", "yaml.mapping-entry-value"]
+    nations = "SELECT n_regionkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, {} AS value FROM nation JOIN region ON n_regionkey = r_regionkey"
+    add("yaml_regions_names", "yaml_regions", [*items, ("yaml.where-tag", {"tag": "tag:yaml.org,2002:str"})], "text", nations.format("n_name"))
+    add("yaml_regions_booleans", "yaml_regions", [*items, ("yaml.where-tag", {"tag": "tag:yaml.org,2002:bool"})], "text", nations.format("'true'"))
+    add("yaml_regions_aliases", "yaml_regions", ["yaml.alias-occurrences", "yaml.alias-target", "yaml.try-mapping-entries", "yaml.mapping-entry-value", ("yaml.where-tag", {"tag": "tag:yaml.org,2002:str"})], "text", nations.format("r_name"))
+    add("yaml_regions_tag", "yaml_regions", [*mapping, "yaml.mapping-entry-value", ("yaml.where-tag", {"tag": "tag:example.org,2000:region"})], "kind", "SELECT r_regionkey::BIGINT AS doc_id, 0::BIGINT AS pos, 'Mapping' AS value FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+    block = ["hcl.document-body", "hcl.body-blocks", "hcl.block-nested-body", "hcl.body-attributes"]
+    broken = "p_partkey % 13 = 0"
+    add("hcl_parts_sizes", "hcl_parts", [*block, ("hcl.attribute-name-equals", {"name": "size"}), "hcl.attribute-expression"], "text", f"SELECT p_partkey::BIGINT AS doc_id, 0::BIGINT AS pos, p_size::VARCHAR AS value FROM part WHERE NOT ({broken})")
+    add("hcl_parts_names", "hcl_parts", [*block, ("hcl.attribute-name-equals", {"name": "name"}), "hcl.attribute-expression"], "text", "SELECT p_partkey::BIGINT AS doc_id, 0::BIGINT AS pos, p_name AS value FROM part")
+    add("hcl_parts_error_regions", "hcl_parts", ["hcl.document-body", "hcl.error-regions"], "text", f"""SELECT p_partkey::BIGINT AS doc_id, 0::BIGINT AS pos, 'lost = [1,' || chr(10) || '  size = ' || p_size || chr(10) || '  tags = ["' || p_type || '", "${{var.x}}-' || p_brand || '"]' || chr(10) || '}}' AS value FROM part WHERE {broken} UNION ALL SELECT p_partkey::BIGINT, (CASE WHEN {broken} THEN 1 ELSE 0 END)::BIGINT, 'bad = ' FROM part WHERE p_partkey % 17 = 0""")
+    add("hcl_parts_last", "hcl_parts", ["hcl.document-body", "hcl.body-attributes", ("hcl.attribute-name-equals", {"name": "last"}), ("hcl.attribute-literal-value", {"accessor": "as-boolean-is"})], "name", f"SELECT p_partkey::BIGINT AS doc_id, 0::BIGINT AS pos, 'last' AS value FROM part WHERE NOT ({broken})")
+    add("properties_suppliers", "properties_suppliers", ["properties.document-properties"], "name || '=' || text", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, value FROM (SELECT s_suppkey::BIGINT AS doc_id, 0 AS k, 'caf' || chr(233) || ' ' || s_suppkey || '=' || s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 1, 'nation=1' FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 2, 'nation=' || s_nationkey FROM supplier UNION ALL SELECT s_suppkey, 3, 'long=abc' FROM supplier)")
+    for name, key, section, rows in (("ini_portable", "Name", "Part", [(0, "p_name")]), ("ini_python", "NAME", "Part", [(0, "p_name || chr(10) || 'more'")])):
+        steps = ["ini.document-sections", ("ini.section-name-equals", {"name": section, "comparison": "ProfileEquivalent"}), "ini.section-entries", ("ini.entry-key-equals", {"key": key, "comparison": "ProfileEquivalent"})]
+        add(f"{name}_names", name, steps, "text", _sql(rows, "part", "p_partkey"))
+        add(f"{name}_other_case", name, [("ini.document-sections"), ("ini.section-name-equals", {"name": "PART", "comparison": "ProfileEquivalent"})], "name", "SELECT p_partkey::BIGINT AS doc_id, 0::BIGINT AS pos, '' AS value FROM part WHERE false")
+
+    def status(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = None
+        for name in ("json_orders", "toml_orders", "xml_orders", "hcl_parts", "ini_portable"):
+            part = nodes(spark, sf_dir, name).filter("role = 'Document'").groupBy(F.lit(name).alias("source"), F.col("kind").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    orders = "SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+    rows = [f"SELECT '{s}' AS source, CASE WHEN {CUT} THEN '{bad}' ELSE 'Complete' END AS status, count(*) AS n FROM ({orders}) GROUP BY 2" for s, bad in (("json_orders", "Recovered"), ("toml_orders", "Failed"), ("xml_orders", "Recovered"))]
+    rows += [f"SELECT '{s}', CASE WHEN {bad} THEN 'Recovered' ELSE 'Complete' END, count(*) FROM part GROUP BY 2" for s, bad in (("hcl_parts", "p_partkey % 13 = 0 OR p_partkey % 17 = 0"), ("ini_portable", "p_partkey % 5 = 0"))]
+    REGISTERED["formation_of_sets"] = (status, " UNION ALL ".join(rows))
+
+
 def _formation() -> None:
     def status(spark: SparkSession, sf_dir: str) -> DataFrame:
         return nodes(spark, sf_dir, "broken").filter("role = 'Document'").groupBy(F.col("kind").alias("status")).agg(F.count(F.lit(1)).alias("n"))
@@ -483,7 +591,7 @@ def _conversion() -> None:
     _function("registry_domains", catalogue, None)
 
 
-for _part in (_conversion, _json, _values, _graph, _toml, _yaml, _ini, _properties, _xml, _plist, _hcl, _formation):
+for _part in (_conversion, _json, _values, _graph, _toml, _yaml, _ini, _properties, _xml, _plist, _hcl, _sets, _formation):
     _part()
 
 

@@ -20,6 +20,7 @@ ESCAPES = {"n": "\n", "r": "\r", "t": "\t", '"': '"', "\\": "\\"}
 class Parser:
     def __init__(self, text: str, profile: str):
         self.tree, self.t, self.tfvars, self.k = Tree(text), text, "tfvars" in profile, 0
+        self.lost: list[tuple[int, int]] = []
         self.tokens: list = []
         at = 0
         while at < len(text):
@@ -31,14 +32,22 @@ class Parser:
                 continue
             kind, end = m.lastgroup, m.end()
             parts = None
-            if kind == "StringOpen":
-                self.tree.piece("StringOpen", at, at + 1)
-                parts, end = self.template(at + 1, '"')
-                self.tree.piece("StringClose", end - 1, end)
-                kind = "Template"
-            elif kind == "Heredoc":
-                parts, end = self.heredoc(at)
-                kind = "Template"
+            if kind in ("StringOpen", "Heredoc"):
+                held = len(self.tree.pieces)
+                try:
+                    if kind == "StringOpen":
+                        self.tree.piece("StringOpen", at, at + 1)
+                        parts, end = self.template(at + 1, '"')
+                        self.tree.piece("StringClose", end - 1, end)
+                    else:
+                        parts, end = self.heredoc(at)
+                    kind = "Template"
+                except Failure as e:  # what is left of the line is lost
+                    del self.tree.pieces[held:]
+                    end = text.find("\n", at)
+                    end = len(text) if end < 0 else end
+                    kind = "Error"
+                    self.lose(at, end, e.code)
             else:
                 self.tree.piece(kind, at, end, "Trivia" if kind in ("Whitespace", "LineBreak") or kind.endswith("Comment") else "Token")
             if kind not in ("Whitespace", "InlineComment", "LineComment"):
@@ -117,8 +126,40 @@ class Parser:
     def raw(self, t) -> str:
         return self.t[t[1] : t[2]]
 
+    def lose(self, start: int, end: int, code: str) -> None:
+        """Note an error region; an empty one has a diagnostic only."""
+        self.tree.note(code, start, end)
+        if end > start:
+            self.lost.append((start, end))
+
+    def skip_item(self, first: int) -> int:
+        """Go on after a failed item that began at token `first`: to the end of its line, or to the close of the brackets it
+        opened; a close that belongs to what is around it is left alone. Gives where the region ends."""
+        closes, stack = {"BraceOpen": "BraceClose", "BracketOpen": "BracketClose", "ParenOpen": "ParenClose"}, []
+        for t in self.tokens[first : self.k]:
+            if t[0] in closes:
+                stack.append(closes[t[0]])
+            elif stack and t[0] == stack[-1]:
+                stack.pop()
+        while True:
+            t = self.tokens[self.k]
+            if t[0] == "End" or not stack and t[0] in ("LineBreak", *closes.values()):
+                return t[1]
+            self.k += 1
+            if t[0] in closes:
+                stack.append(closes[t[0]])
+            elif t[0] in closes.values():
+                if stack.pop() == t[0] and not stack:
+                    return t[2]
+
     def parse(self) -> Tree:
         _, value = self.body(None, "End", 0)
+        if self.lost:
+            inside = lambda s, e: any(a <= s and e <= b for a, b in self.lost)
+            whole = [r for r in self.lost if not any(a <= r[0] and r[1] <= b and (a, b) != r for a, b in self.lost)]
+            kept = [p for p in self.tree.pieces if not inside(p[2], p[3])]
+            self.tree.pieces = sorted([*kept, *[("ErrorRegion", "ErrorRegion", s, e) for s, e in dict.fromkeys(whole)]], key=lambda p: p[2])
+            value = None
         self.tree.value = Value("Object", (("record", string("hcl.body@1")), ("body", value))) if value is not None else None
         return self.tree
 
@@ -126,39 +167,63 @@ class Parser:
         if depth > 128:
             raise Failure("hcl.parse.depth@1")
         node, items, names, n = self.tree.add("HclBody", None, parent, self.peek()[1]), [], set(), 0
-        while self.peek(True)[0] != close:
-            t = self.take("Identifier", True)
-            name = self.raw(t)
-            if self.peek()[0] == "Equals":
-                self.k += 1
-                attribute = self.tree.add("HclAttribute", "attribute", node, t[1], t[2], n, name=name)
-                if name in names:
-                    self.tree.note("hcl.attribute.duplicate@1", t[1], t[2])
-                names.add(name)
-                child, v = self.expression(attribute, 0)
-                self.tree[attribute].update(value_id=child, end_byte=self.tokens[self.k - 1][2])
-                items.append(None if v is None else Value("Object", (("kind", string("attribute")), ("name", string(name)), ("value", v))))
-            else:
-                if self.tfvars:
-                    self.tree.note("hcl.tfvars.block@1", t[1], t[2])
-                block = self.tree.add("HclBlock", "block", node, t[1], t[2], n, name=name)
-                labels = []
-                while self.peek()[0] in ("Template", "Identifier"):
-                    x = self.take(self.peek()[0])
-                    text = self.text(x) if x[0] == "Template" else self.raw(x)
-                    self.tree.add("HclBlockLabel", None, block, x[1], x[2], len(labels), name=text, text=text)
-                    labels.append(string(text))
-                self.take("BraceOpen")
-                inner, v = self.body(block, "BraceClose", depth + 1)
-                self.take("BraceClose", True)
-                self.tree[block].update(value_id=inner, end_byte=self.tokens[self.k - 1][2])
-                items.append(None if v is None else Value("Object", (("kind", string("block")), ("type", string(name)), ("labels", sequence(labels)), ("body", v))))
-            n += 1
-            if self.peek()[0] not in ("LineBreak", close, "End"):
-                raise Failure("hcl.parse.syntax@1", self.peek()[1])
+        while self.peek(True)[0] not in (close, "End"):
+            first, rows, before = self.k, len(self.tree.rows), set(names)
+            try:
+                items.append(self.item(node, names, n, close, depth))
+                n += 1
+            except Failure as e:
+                if e.code not in ("hcl.parse.syntax@1",):
+                    raise
+                if first == self.k and self.peek()[0] in ("BraceClose", "BracketClose", "ParenClose"):
+                    self.lose(self.peek()[1], self.peek()[1], e.code)  # closes nothing
+                    self.k += 1
+                else:
+                    del self.tree.rows[rows:]
+                    names.clear()
+                    names.update(before)
+                    start = self.tokens[first][1]
+                    self.k += self.k == first
+                    self.lose(start, self.skip_item(first), e.code)
+                items.append(None)
+        if close != "End" and self.peek()[0] == "End":
+            self.lose(self.peek()[1], self.peek()[1], "hcl.parse.syntax@1")  # never closed
+            items.append(None)
         self.tree[node]["end_byte"] = self.peek()[1]
         return node, None if None in items else sequence(items)
 
+    def item(self, node: int, names: set, n: int, close: str, depth: int) -> Value | None:
+        t = self.take("Identifier", True)
+        name = self.raw(t)
+        if self.peek()[0] == "Equals":
+            self.k += 1
+            attribute = self.tree.add("HclAttribute", "attribute", node, t[1], t[2], n, name=name)
+            if name in names:
+                self.tree.note("hcl.attribute.duplicate@1", t[1], t[2])
+            names.add(name)
+            child, v = self.expression(attribute, 0)
+            self.tree[attribute].update(value_id=child, end_byte=self.tokens[self.k - 1][2])
+            out = None if v is None else Value("Object", (("kind", string("attribute")), ("name", string(name)), ("value", v)))
+        else:
+            if self.tfvars:
+                self.tree.note("hcl.tfvars.block@1", t[1], t[2])
+            block = self.tree.add("HclBlock", "block", node, t[1], t[2], n, name=name)
+            labels = []
+            while self.peek()[0] in ("Template", "Identifier"):
+                x = self.take(self.peek()[0])
+                text = self.text(x) if x[0] == "Template" else self.raw(x)
+                self.tree.add("HclBlockLabel", None, block, x[1], x[2], len(labels), name=text, text=text)
+                labels.append(string(text))
+            self.take("BraceOpen")
+            inner, v = self.body(block, "BraceClose", depth + 1)
+            if self.peek(True)[0] != "End":
+                self.take("BraceClose", True)
+            self.tree[block].update(value_id=inner, end_byte=self.tokens[self.k - 1][2])
+            out = None if v is None else Value("Object", (("kind", string("block")), ("type", string(name)), ("labels", sequence(labels)), ("body", v)))
+        if self.peek()[0] not in ("LineBreak", close, "End"):
+            raise Failure("hcl.parse.syntax@1", self.peek()[1])
+        return out
+
     def text(self, t) -> str | None:
         """The text of a template without interpolation or directive."""
         out = ""
@@ -320,6 +385,7 @@ class Parser:
             node, v = self.make("object", parent, s, ordinal, None if bad else Value("EntryMapping", tuple(entries)))
             self.adopt(node, *kids)
             return node, v
+        self.k -= 1
         raise Failure("hcl.parse.syntax@1", s)
 
     def listed(self, close: str, depth: int) -> tuple[list[int], list]:

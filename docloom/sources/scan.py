@@ -18,8 +18,36 @@ TYPES = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 MAX_BYTES = 64 << 20
 
 
-def parse(content: str | bytes, profile: str) -> Tree:
-    """One document under an explicit profile; raises Failure if it cannot be formed."""
+def decoded(content: bytes, profile: str, encoding: str | None = None) -> tuple[str, str]:
+    """Text and encoding of a source: what its profile allows of a byte order mark, the caller's choice, and UTF-8."""
+    from docloom.functions.source import MARKS, decode
+
+    family = profile.split(".")[0]
+    mark = next((name for code, name in MARKS if content.startswith(bytes.fromhex(code))), None)
+    if mark in ("utf-32le", "utf-32be"):
+        raise Failure("core.source.unsupported-bom@1")
+    wide = family in ("yaml", "xml", "plist") or profile in ("ini.windows@1", "ini.python-configparser@1", "java-properties.reader@1")
+    if "latin1" in profile:
+        chosen = "latin-1"
+    elif mark in ("utf-16le", "utf-16be"):
+        if not wide or (profile == "ini.windows@1" and mark == "utf-16be"):
+            raise Failure("core.source.encoding-conflict@1")
+        chosen = mark
+    else:
+        chosen = encoding or "utf-8"
+    if encoding and encoding != chosen or chosen not in ("utf-8", "latin-1") and not wide:
+        raise Failure("core.source.encoding-conflict@1")
+    try:
+        return decode(content, chosen), chosen
+    except UnicodeDecodeError as e:
+        raise Failure("core.source.invalid-encoding@1", e.start) from e
+    except (LookupError, ValueError) as e:
+        raise Failure("core.source.unsupported-encoding@1") from e
+
+
+def parse(content: str | bytes, profile: str, encoding: str | None = None) -> Tree:
+    """One document under an explicit profile; raises Failure if it cannot be formed. encoding: the caller's choice, for
+    bytes of profiles that leave one."""
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile}")
     module = importlib.import_module(f"docloom.sources.{MODULES[profile.split('.')[0]]}")
@@ -27,18 +55,18 @@ def parse(content: str | bytes, profile: str) -> Tree:
         raise Failure("core.parse.source-size@1")
     if profile == "plist.binary@1":
         return module.parse_binary(bytes(content), profile)
+    chosen = "utf-8"
     if isinstance(content, (bytes, bytearray)):
-        try:
-            content = bytes(content).decode("latin-1" if "latin1" in profile else "utf-8")
-        except UnicodeDecodeError as e:
-            raise Failure("core.source.invalid-encoding@1", e.start) from e
-    return module.parse(content, profile)
+        content, chosen = decoded(bytes(content), profile, encoding)
+    tree = module.parse(content, profile)
+    tree.encoding = chosen
+    return tree
 
 
-def formed(content, profile: str) -> Tree | str:
+def formed(content, profile: str, encoding: str | None = None) -> Tree | str:
     """A tree, or the code of the failure. Text too deep for the parser counts as a depth failure."""
     try:
-        return parse(content if content is not None else "", profile)
+        return parse(content if content is not None else "", profile, encoding)
     except Failure as e:
         return e.code
     except RecursionError:
@@ -62,7 +90,7 @@ def viewed(tree: Tree | str, view: str | None) -> Tree | str:
     return out
 
 
-def scan(docs: DataFrame, profile: str, pieces: bool = False, view: str | None = None, partitions: int | None = None) -> DataFrame:
+def scan(docs: DataFrame, profile: str, pieces: bool = False, view: str | None = None, partitions: int | None = None, encoding: str | None = None) -> DataFrame:
     """The node table of documents (doc_id, text or content), dealt out by doc_id.
 
     view: None for the native tree, 'graph' for the graph of YAML streams, 'value' for portable values. A document that
@@ -75,7 +103,7 @@ def scan(docs: DataFrame, profile: str, pieces: bool = False, view: str | None =
                 ids, found = [], []
                 part = batch.slice(at, 500)
                 for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tree = viewed(formed(content, profile), view)
+                    tree = viewed(formed(content, profile, encoding), view)
                     table = failed(tree) if isinstance(tree, str) else tree.table(pieces)
                     ids += [doc] * len(table)
                     found += table

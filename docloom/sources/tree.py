@@ -32,6 +32,7 @@ class Tree:
     pieces: list[tuple[str, str, int, int]] = field(default_factory=list)
     diagnostics: list[tuple[str, int, int]] = field(default_factory=list)
     value: object = None
+    encoding: str = "utf-8"
 
     def add(self, role: str, kind: str | None = None, parent: int | None = None, start: int = 0, end: int = 0, ordinal: int = 0, **more) -> int:
         self.rows.append({"role": role, "kind": kind, "parent_id": parent, "start_byte": start, "end_byte": end, "ordinal": ordinal, **more})
@@ -73,7 +74,7 @@ class Tree:
 
     def table(self, pieces: bool) -> list[tuple]:
         """Node rows: the document (0), its entities, diagnostics, and pieces if asked for."""
-        at = bytes_of(self.text)
+        at = bytes_of(self.text, self.encoding)
         status = "Recovered" if self.diagnostics and any(not c.endswith("duplicate-member@1") for c, _, _ in self.diagnostics) else "Complete"
         out = [{"role": "Document", "kind": status, "end_byte": at(len(self.text))}]
         out += [r | {"start_byte": at(r["start_byte"]), "end_byte": at(r["end_byte"])} for r in self.rows]
@@ -83,8 +84,18 @@ class Tree:
         return [(n, *[r.get(c) for c in NAMES[1:]]) for n, r in enumerate(out)]
 
 
-def bytes_of(text: str):
-    """From a character offset in the text to the byte offset of its UTF-8 form."""
+def bytes_of(text: str, encoding: str = "utf-8"):
+    """From a character offset in the text to the byte offset in the source it was decoded from."""
+    if encoding in ("utf-16le", "utf-16be"):
+        ends = [0]
+        for c in text:
+            ends.append(ends[-1] + (4 if c > "\uffff" else 2))
+        return ends.__getitem__
+    if encoding != "utf-8":
+        sizes = [0]
+        for c in text:
+            sizes.append(sizes[-1] + (1 if encoding != "windows-932" else len(c.encode("cp932", "replace"))))
+        return sizes.__getitem__
     if text.isascii():
         return lambda k: k
     ends, total = [0], 0
