@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 from dataclasses import dataclass
 from decimal import Decimal
@@ -243,6 +244,56 @@ def transport(v: Value) -> str:
     return json.dumps(to_json(v), ensure_ascii=False, separators=(",", ":"))
 
 
+def from_json(x: object) -> Value:
+    """The value of a tagged transport form; anything but the spelling that to_json() gives is refused."""
+    if not isinstance(x, dict) or x.get("kind") not in TAGS and x.get("kind") != "Boolean":
+        raise ValueError("not a tagged value")
+    kind, d = x["kind"], x.get("value")
+    if kind == "Null":
+        v = NULL
+    elif kind == "Boolean":
+        v = Value(kind, d)
+    elif kind == "Sequence":
+        v = sequence([from_json(i) for i in x["items"]])
+    elif kind == "Object":
+        v = Value(kind, tuple((k, from_json(i)) for k, i in x["entries"]))
+    elif kind == "EntryMapping":
+        v = Value(kind, tuple((from_json(k), from_json(i)) for k, i in x["entries"]))
+    elif not isinstance(d, str):
+        raise ValueError("a scalar without text")
+    elif kind == "Integer":
+        v = integer(int(d))
+    elif kind == "Decimal":
+        v = Value(kind, tuple(map(int, d.split("e"))))
+    elif kind == "BinaryFloat64":
+        v = float64(float(d))
+    elif kind == "BinaryFloat32":
+        v = Value(kind, int(d))
+    elif kind == "String":
+        v = string(d)
+    elif kind == "Bytes":
+        v = Value(kind, bytes.fromhex(d))
+    else:
+        v = _moment(kind, d)
+    if to_json(v) != x:
+        raise ValueError("not canonical")
+    return v
+
+
+def _moment(kind: str, text: str) -> Value:
+    m = re.fullmatch(r"(?:(-?\d{4,})-(\d\d)-(\d\d))?T?(?:(\d\d):(\d\d):(\d\d)(?:\.(\d+))?)?(Z|[+-]\d\d:\d\d)?", text)
+    if not m:
+        raise ValueError("not a date or time")
+    date = tuple(map(int, m.groups()[:3])) if m[1] else ()
+    time = (int(m[4]), int(m[5]), int(m[6]), (int(m[7] or 0), -len(m[7] or ""))) if m[4] else ()
+    zone = () if not m[8] else (0,) if m[8] == "Z" else ((-1 if m[8][0] == "-" else 1) * (int(m[8][1:3]) * 3600 + int(m[8][4:]) * 60),)
+    return Value(kind, (*date, *time, *zone))
+
+
+def from_transport(text: str) -> Value:
+    return from_json(json.loads(text))
+
+
 def rows(v: Value, tree) -> None:
     """Add a value to a tree: Value, ObjectEntry and EntryMappingEntry rows; sequence elements are children."""
 

@@ -588,7 +588,33 @@ def _conversion() -> None:
 
         return spark.createDataFrame([(d, len(ops)) for d, (_, ops) in DOMAINS.items()], "domain string, operators long")
 
-    _function("registry_domains", catalogue, None)
+    # How many operators each domain has.
+    counts = [
+        ("core.portable-value-query@1", 9), ("core.portable-graph-query@1", 8), ("json.native-semantic-query@1", 5), ("json.native-semantic-query@2", 5), ("toml.native-semantic-query@1", 5), ("yaml.native-semantic-query@1", 14),
+        ("ini.native-semantic-query@1", 10), ("java-properties.native-semantic-query@1", 8), ("xml.native-semantic-query@1", 25), ("plist.native-semantic-query@1", 15), ("plist.binary-structure-query@1", 6), ("hcl.native-semantic-query@1", 22),
+        *[(f"{f}.lossless-syntax-query@1", 4 if f == "java-properties" else 2) for f in ("json", "toml", "yaml", "ini", "java-properties", "xml", "plist", "hcl")], ("json.lossless-syntax-query@2", 2),
+    ]
+    _function("registry_domains", catalogue, "SELECT * FROM (VALUES " + ", ".join(f"('{d}', {n}::BIGINT)" for d, n in counts) + ") t(domain, operators)")
+
+    # The binary forms of one small value and one small graph for each customer, spelled out in SQL.
+    def small(text: str) -> Callable:
+        return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.format_string(text, "c_custkey").alias("text"))
+
+    def value_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return codes(small('{"id":%d}')(spark, sf_dir), "json.strict@1").select("doc_id", F.lower(F.hex("pvce")).alias("form"), "transport")
+
+    def graph_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from docloom.functions.graphs import codes as graph_codes
+
+        return graph_codes(small("id: %d\n")(spark, sf_dir), "yaml.1.2-core@1").select("doc_id", "status", F.lower(F.hex("pgce")).alias("form"))
+
+    byte = lambda x: f"printf('%02x', ({x})::BIGINT)"
+    size = "CASE WHEN c_custkey = 0 THEN 0 WHEN c_custkey < 256 THEN 1 WHEN c_custkey < 65536 THEN 2 ELSE 3 END"
+    whole = f"CASE WHEN c_custkey = 0 THEN '0000' ELSE '01' || {byte(size)} || substr(printf('%06x', c_custkey::BIGINT), 7 - 2 * ({size})) END"
+    body = f"'01200302' || '6964' || '10' || {byte(f'2 + ({size})')} || ({whole})"
+    _function("value_binary_form", value_form, f"""SELECT c_custkey AS doc_id, '505643450141' || {byte(f"length({body}) / 2")} || {body} AS form, '{{"kind":"Object","entries":[["id",{{"kind":"Integer","value":"' || c_custkey || '"}}]]}}' AS transport FROM customer""")
+    tag = lambda x: f"'15' || lower(hex('tag:yaml.org,2002:{x}'))"
+    _function("graph_binary_form", graph_form, f"SELECT c_custkey AS doc_id, 'Ok' AS status, '504743450101030041' || {tag('map')} || '010102' || '20' || {tag('str')} || '026964' || '20' || {tag('int')} || {byte('length(c_custkey::VARCHAR)')} || lower(hex(c_custkey::VARCHAR)) AS form FROM customer")
 
 
 for _part in (_conversion, _json, _values, _graph, _toml, _yaml, _ini, _properties, _xml, _plist, _hcl, _sets, _formation):
