@@ -92,6 +92,10 @@ def links_within(fps: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
+#: A bucket with about this many rows or more is split; a bucket's size is told from a share of one in SHARE fingerprints.
+HOT, SHARE = 20_000, 32
+
+
 def _search(most: int, columns: tuple[str, ...] = ("fp",)):
     """Walk rows sorted by (seg, key), bucket by bucket, and give links between representatives. columns: the fingerprint."""
 
@@ -135,6 +139,43 @@ def _search(most: int, columns: tuple[str, ...] = ("fp",)):
     return run
 
 
+def _split_hot(rows: DataFrame, most: int, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of hot buckets dealt to buckets of HOT rows or so, and links of hot rows with their bucket's head.
+
+    The head is the row with the smallest representative. Rows near it (P) need no comparison with each other: the head links
+    them. The others (Q) must meet all rows. So P is cut in parts and Q in parts, and each part of Q meets each part of P and
+    of Q in a bucket of its own: no pair is lost, and a group of copies, where Q is small, costs no more than its rows.
+    Which buckets are hot is told from a share of the fingerprints; that changes the work, not the links' components.
+    """
+    spark, key = rows.sparkSession, ["seg", "key"]
+    few = rows.filter(F.pmod(F.xxhash64(F.lit("share"), "rep"), F.lit(SHARE)) == 0)
+    hot = stored(few.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2, HOT // SHARE)).select(*key), "hot")
+    if not hot.head(1):
+        return rows, None
+    near = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"head.{c}"))) for c in columns) <= most
+    heads = rows.join(hot, key).groupBy(*key).agg(F.min(F.struct("rep", *columns)).alias("head"))
+    held = stored(rows.join(heads, key).withColumn("p", near), "hot_rows")
+    sizes = held.groupBy(*key).agg(*[F.ceil(F.sum(F.when(c, 1).otherwise(0)) / HOT).cast("int").alias(n) for n, c in (("np", F.col("p")), ("nq", ~F.col("p")))])
+    held = held.join(sizes, key)
+    part = lambda n: F.pmod(F.xxhash64(F.lit("part"), "rep"), F.greatest(n, F.lit(1))).cast("int")
+    count = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    meets_q = F.transform(count(F.col("nq")), lambda k: F.xxhash64("key", F.lit("p"), part(F.col("np")), k))
+    meets_p = F.transform(count(F.col("np")), lambda k: F.xxhash64("key", F.lit("p"), k, part(F.col("nq"))))
+    among_q = F.transform(count(F.col("nq")), lambda k: F.xxhash64("key", F.lit("q"), F.least(k, part(F.col("nq"))), F.greatest(k, part(F.col("nq")))))
+    dealt = held.withColumn("key", F.explode(F.when(F.col("p"), meets_q).otherwise(F.concat(meets_p, among_q))))
+    star = held.filter("p AND rep <> head.rep").select(F.col("rep").alias("a"), F.col("head.rep").alias("b"))
+    cold = rows.join(hot, key, "left_anti")
+    return cold.unionByName(dealt.select(*rows.columns).withColumn("own", F.lit(True))), star
+
+
+def _linked(rows: DataFrame, most: int, count: int, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Links (a, b) between rows (seg, key, rep, own, the fingerprint) of a bucket within `most` bits; enough for components."""
+    rows, star = _split_hot(rows, most, columns)
+    dealt = rows.repartition(count, "seg", "key").sortWithinPartitions("seg", "key")
+    found = dealt.mapInPandas(_search(most, columns), "a long, b long")
+    return found if star is None else found.unionByName(star)
+
+
 def links(distinct: DataFrame, most: int = 3, segments: int = 2) -> DataFrame:
     """Links (a, b) that connect what lies within `most` bits. distinct: fp, rep (a row for each fingerprint).
 
@@ -149,8 +190,7 @@ def links(distinct: DataFrame, most: int = 3, segments: int = 2) -> DataFrame:
     ball = F.filter(F.transform(F.lit(np.array(masks, np.int64)), lambda m: F.col("t.key").bitwiseXOR(m)), lambda k: k >= F.col("t.key"))
     rows = distinct.select("fp", "rep", F.explode(tables).alias("t")).select("fp", "rep", "t", F.explode(ball).alias("key"))
     rows = rows.select(F.col("t.seg").alias("seg"), "key", "fp", "rep", (F.col("key") == F.col("t.key")).alias("own"))
-    dealt = rows.repartition(partitions(distinct), "seg", "key").sortWithinPartitions("seg", "key")
-    return dealt.mapInPandas(_search(most), "a long, b long")
+    return _linked(rows, most, partitions(distinct))
 
 
 def _grouped(prints: DataFrame, most: int, segments: int) -> DataFrame:
@@ -172,39 +212,41 @@ def near_duplicates(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bands of the pipeline's MinHash and values in a band: sets with a Jaccard similarity of 0.8 agree in none of the bands
-#: once in 2.5 million times, more similar ones more seldom.
-BANDS, ROWS = 28, 4
-#: Bits of a sketch, one for each of so many least hashes, and how many may differ: 0.1 of them do on average at 0.8, and so
-#: many or more once in some 100 million times.
-BITS, DIFFER = 256, 56
-_DRAW = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BITS, 1), np.uint32)
+#: The stage's fingerprints: BITS bits, of which one byte and one pivot address each of TABLES tables. At a Jaccard similarity
+#: of 0.8 a bit differs with a chance of 0.152, so a table finds a pair with a chance of 0.8 (the pivots are equal) times 0.65
+#: (the bytes differ by a bit at most), and all twelve miss it once in some 7,000 times; more similar pairs more seldom.
+BITS, TABLES = 256, 12
+#: Bits that may differ between candidates: 39 do on average at 0.8, and more than so many about once in 100,000 times.
+DIFFER = 64
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BITS // 64 + TABLES, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    x = (hashes ^ (hashes >> np.uint64(29))) * _ODD[k]
+    return x ^ (x >> np.uint64(32))
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash of sets of hashes: the keys of BANDS bands, and a sketch of BITS bits as longs. The empty set has its own."""
-    least = np.full((len(sets), BITS), np.uint32(0xFFFFFFFF))
-    for n, hashes in enumerate(sets):
-        part = (hashes.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(part), 2048):
-            np.minimum(least[n], ((part[at : at + 2048] ^ _DRAW[0]) * (_DRAW[1] | np.uint32(1))).min(axis=1), out=least[n])
-    wide = least[:, : BANDS * ROWS].astype(np.uint64).reshape(len(sets), BANDS, ROWS)
-    keys = np.zeros((len(sets), BANDS), np.uint64)
-    for j in range(ROWS):
-        keys = (keys ^ wide[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(32)
-    bits = (least * np.uint32(0x85EBCA6B)) >> np.uint32(31)
-    return keys.view(np.int64), np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set of hashes: the pivot of each table, which is the least of the hashes in an order of its own, and the SimHash
+    of BITS bits as longs. The empty set has zeros."""
+    pivots, words, own = np.zeros(TABLES, np.int64), np.zeros(BITS // 64, np.uint64), hashes.view(np.uint64)
+    if len(own):
+        for k in range(BITS // 64):
+            words[k] = _majority(_mixed(own, k), [len(own)])[0]
+        for k in range(TABLES):
+            pivots[k] = _mixed(own, BITS // 64 + k).min().view(np.int64)
+    return pivots, words.view(np.int64)
 
 
 def _hashed(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes."""
     from xxhash import xxh64_digest
 
     return np.unique(np.frombuffer(b"".join([xxh64_digest(p, SEED) for p in set(shingles(text, size))]), "<i8"))
 
 
 def _sets(size: int):
-    """doc_id, SHA-256 of the text, and MinHash bands and sketch of its distinct shingles."""
+    """doc_id, SHA-256 of the text (its first half), pivots and fingerprint of its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
@@ -214,122 +256,152 @@ def _sets(size: int):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
                 digests = [sha256((t or "").encode("utf-8", "surrogatepass")).digest()[:16] for t in texts]
-                keys, bits = signatures([_hashed(t, size) for t in texts])
-                columns = [pa.array(list(c), pa.list_(pa.int64())) for c in (keys, bits)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), *columns], ["doc_id", "digest", "keys", "bits"])
+                found = [signature(_hashed(t, size)) for t in texts]
+                columns = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), *columns], ["doc_id", "digest", "pivots", "bits"])
 
     return run
 
 
+WORDS = tuple(f"b{k}" for k in range(BITS // 64))
+
+
 def similar(first: DataFrame) -> DataFrame:
-    """Links (a, b) that connect rows of first (doc_id, keys, bits) which share a band and whose sketches differ little."""
-    bits = [f"b{k}" for k in range(BITS // 64)]
-    rows = first.select(F.posexplode("keys").alias("seg", "key"), F.col("doc_id").alias("rep"), F.lit(True).alias("own"), *[F.get("bits", k).alias(b) for k, b in enumerate(bits)])
-    dealt = rows.repartition(partitions(first), "seg", "key").sortWithinPartitions("seg", "key")
-    return dealt.mapInPandas(_search(DIFFER, tuple(bits)), "a long, b long")
+    """Links (a, b) that connect rows of first (doc_id, pivots, bits) which meet in a table and differ in DIFFER bits at most.
+
+    Table k is addressed by pivot k and byte k of the fingerprint. A row stands under its own byte and looks up the Hamming
+    ball of radius 1; of two bytes only the smaller looks up the larger. The pivot keeps a table's buckets small at any
+    number of rows: rows without a common shingle never meet.
+    """
+    byte = lambda k: F.shiftrightunsigned(F.get("bits", k // 8), k % 8 * 8).bitwiseAND(F.lit(255))
+    tables = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("seg"), F.get("pivots", k).alias("pivot"), byte(k).alias("byte")) for k in range(TABLES)])
+    ball = F.filter(F.transform(F.lit(np.array([0, *(1 << j for j in range(8))], np.int64)), lambda m: F.col("t.byte").bitwiseXOR(m)), lambda x: x >= F.col("t.byte"))
+    rows = first.select(F.col("doc_id").alias("rep"), *[F.get("bits", k).alias(w) for k, w in enumerate(WORDS)], F.explode(tables).alias("t"))
+    rows = rows.select("rep", *WORDS, "t", F.explode(ball).alias("byte"))
+    rows = rows.select(F.col("t.seg").alias("seg"), F.xxhash64("t.pivot", "byte").alias("key"), "rep", *WORDS, (F.col("byte") == F.col("t.byte")).alias("own"))
+    return _linked(rows, DIFFER, partitions(first), WORDS)
 
 
 def _shingle_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [_hashed(t, size) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "component_id", "words"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [_hashed(t, size) for t in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.list_(pa.int64()))], list(HELD))
 
     return run
 
 
+def _prints(bits) -> np.ndarray:
+    return np.stack(list(bits)).astype(np.int64).view(np.uint64) if len(bits) else np.zeros((0, BITS // 64), np.uint64)
+
+
+def _resembling(words: np.ndarray, print_: np.ndarray, others: list[np.ndarray], prints: np.ndarray, open_: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the open others have a Jaccard similarity of at least `similarity` to the set. Only those whose fingerprints
+    are near, as those of candidates are, and whose sizes allow it are compared word for word."""
+    near = open_[np.bitwise_count(prints[open_] ^ print_).sum(axis=1) <= DIFFER]
+    sizes = np.array([len(others[k]) for k in near], np.int64)
+    fits = np.minimum(sizes, len(words)) >= similarity * np.maximum(sizes, len(words)) - 1e-9
+    near, sizes = near[fits], sizes[fits]
+    if not len(words) or not len(near):
+        return near  # sets without words resemble each other
+    out, at = [], 0
+    while at < len(near):  # in pieces of bounded size
+        stop = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), PIECE, "right")))
+        flat = np.concatenate([others[k] for k in near[at:stop]])
+        hit = words[np.minimum(np.searchsorted(words, flat), len(words) - 1)] == flat
+        both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[at:stop])[:-1]]))
+        out.append(near[at:stop][both >= similarity * (len(words) + sizes[at:stop] - both) - 1e-9])
+        at = stop
+    return np.concatenate(out)
+
+
 def _greedy(similarity: float):
-    """Settle one component in ascending doc_id: who resembles an earlier one that stays goes. Rows: doc_id, alike."""
+    """Settle one component in ascending doc_id: who resembles an earlier one that stays goes. Adds alike."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        stays, sizes, alike = {}, [], []
-        for words in pdf["words"]:
-            alike.append(_resembles(words, stays, sizes, similarity))
-            if not alike[-1]:
-                for h in words.tolist():
-                    stays.setdefault(h, []).append(len(sizes))
-                sizes.append(len(words))
-        return pdf.assign(alike=alike)[["doc_id", "component_id", "words", "alike"]]
+        pdf = pdf.sort_values(["doc_id", "digest"], kind="stable")
+        words, prints = list(pdf["words"]), _prints(pdf["bits"])
+        alike, left = np.zeros(len(pdf), bool), np.arange(len(pdf))
+        while len(left) > 1:
+            head, left = left[0], left[1:]
+            gone = _resembling(words[head], prints[head], words, prints, left, similarity)
+            alike[gone] = True
+            left = left[~alike[left]]
+        return pdf.assign(alike=alike)[[*HELD, "alike"]]
 
     return run
 
 
-def _resembles(words: np.ndarray, stays: dict[int, list[int]], sizes: list[int], similarity: float) -> bool:
-    """Has the set a Jaccard similarity of at least `similarity` to one of the sets indexed in stays?"""
-    found = [n for h in words.tolist() for n in stays.get(h, ())]
-    if not found:
-        return not len(words) and 0 in sizes
-    both = np.bincount(np.array(found), minlength=len(sizes))
-    return bool((both >= similarity * (len(words) + np.array(sizes) - both)).any())
-
-
 def _against(similarity: float):
     """Rows of one part of a component that resemble one of the component's settled documents."""
 
     def run(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        stays: dict[int, list[int]] = {}
-        sizes = [len(w) for w in heads["words"]]
-        for n, words in enumerate(heads["words"]):
-            for h in words.tolist():
-                stays.setdefault(h, []).append(n)
-        return rows.assign(alike=[_resembles(w, stays, sizes, similarity) for w in rows["words"]])[["doc_id", "component_id", "words", "alike"]]
+        words, prints = list(rows["words"]), _prints(rows["bits"])
+        alike, left = np.zeros(len(rows), bool), np.arange(len(rows))
+        for one, print_ in zip(heads["words"], _prints(heads["bits"])):
+            alike[_resembling(one, print_, words, prints, left, similarity)] = True
+            left = left[~alike[left]]
+        return rows.assign(alike=alike)[[*HELD, "alike"]]
 
     return run
 
 
-#: Components up to this size are settled in one task; of larger ones the first HEADS or so at a time.
-TASK, HEADS = 1500, 250
-SET = "doc_id long, component_id long, words array<long>, alike boolean"
+#: Words that a task settles at once (8 bytes each): components with more are cut in parts, and of such a component documents
+#: with some HEADS words are settled first, then compared with all parts, and so on.
+TASK, HEADS, PIECE = 1_500_000, 300_000, 1 << 20
+HELD = ("doc_id", "digest", "component_id", "bits", "words")
+HELD_SCHEMA = "doc_id long, digest binary, component_id long, bits array<long>, words array<long>"
+SET = HELD_SCHEMA + ", alike boolean"
 
 
 def _settle(left: DataFrame, similarity: float) -> DataFrame:
-    """doc_id of the rows (doc_id, component_id, words) that resemble a row of their component with a smaller id that stays."""
+    """doc_id and digest of the rows (HELD) that resemble a row of their component with a smaller id that stays."""
     gone: list[DataFrame] = []
     while True:
-        counts = left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-        few = left.join(counts.filter(F.col("n") <= TASK), "component_id").select("doc_id", "component_id", "words")
-        gone.append(stored(few.groupBy("component_id").applyInPandas(_greedy(similarity), SET).filter("alike").select("doc_id"), "gone"))
-        big = stored(counts.filter(F.col("n") > TASK), "big")
-        if not big.count():
+        counts = left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words") + 16).alias("w"))
+        few = left.join(counts.filter(F.col("w") <= TASK), "component_id").select(*HELD)
+        gone.append(stored(few.groupBy("component_id").applyInPandas(_greedy(similarity), SET).filter("alike").select("doc_id", "digest"), "gone"))
+        big = stored(counts.filter(F.col("w") > TASK), "big")
+        if not big.head(1):
             return reduce(DataFrame.unionAll, gone)
         rows = stored(left.join(big, "component_id"), "rows")
-        # A cut below which a component has HEADS documents or so: the smallest id of a hashed share of one in HEADS.
-        share = F.pmod(F.xxhash64(F.lit("cut"), "doc_id"), F.lit(HEADS)) == 0
-        cut = rows.groupBy("component_id").agg(F.coalesce(F.min(F.when(share, F.col("doc_id"))), F.max("doc_id")).alias("cut"))
-        rows = stored(rows.join(cut, "component_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / TASK)).cast("int")), "rows")
-        heads = rows.filter("doc_id <= cut").select("doc_id", "component_id", "words")
+        # A cut below which a component has some HEADS words: the smallest id that a hash draws with the chance for it.
+        drawn = F.pmod(F.xxhash64(F.lit("cut"), "doc_id"), F.greatest(F.lit(1), F.floor(F.lit(HEADS) * F.col("n") / F.col("w")))) == 0
+        parts = F.ceil(F.col("w") / TASK).cast("int")
+        cut = rows.groupBy("component_id").agg(F.coalesce(F.min(F.when(drawn, F.col("doc_id"))), F.max("doc_id")).alias("cut"))
+        rows = stored(rows.join(cut, "component_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")), "rows")
+        heads = rows.filter("doc_id <= cut").select(*HELD)
         settled = stored(heads.groupBy("component_id").applyInPandas(_greedy(similarity), SET), "settled")
-        gone.append(settled.filter("alike").select("doc_id"))
-        spread = settled.filter("not alike").join(big, "component_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / TASK).cast("int") - 1)))
+        gone.append(settled.filter("alike").select("doc_id", "digest"))
+        spread = settled.filter("not alike").join(big, "component_id").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         rest = rows.filter("doc_id > cut").groupBy("component_id", "part").cogroup(spread.groupBy("component_id", "part"))
         judged = stored(rest.applyInPandas(_against(similarity), SET), "judged")
-        gone.append(judged.filter("alike").select("doc_id"))
-        left = judged.filter("not alike").select("doc_id", "component_id", "words")
+        gone.append(judged.filter("alike").select("doc_id", "digest"))
+        left = judged.filter("not alike").select(*HELD)
 
 
 def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when one document of each group of near copies is kept.
 
-    Equal texts are one group; the row with the smallest doc_id stays, and a repeated row once. Distinct texts are linked
-    by MinHash of their sets of `size`-word shingles (bands made for a similarity of 0.8 and more), and linked ones compared
-    by those sets, in ascending doc_id: what has a Jaccard similarity of at least `similarity` to a document that stays goes.
-    Null and empty texts are equal to each other; of those one stays. A null doc_id counts as larger than any other. An empty
-    table stays empty; all columns are kept.
+    Equal texts are one group; the row with the smallest doc_id stays, and a repeated row once. Distinct texts get SimHash
+    fingerprints of their sets of `size`-word shingles; multi-index hashing (see similar) finds and verifies candidates, and
+    linked ones are compared by those sets, in ascending doc_id: what has a Jaccard similarity of at least `similarity` to a
+    document that stays goes. Null and empty texts are equal to each other; of those one stays, as it does of texts without
+    words. A null doc_id counts as larger than any other, and such a text is only compared with equal ones. Very long texts
+    are read whole, one at a time. An empty table stays empty; all columns are kept, whatever their names.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stored(ids.mapInArrow(_sets(size), "doc_id long, digest binary, keys array<long>, bits array<long>"), "seen")
-    first = stored(seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "first")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = held.withColumn("digest", F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32)))
+    seen = stored(held.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, digest binary, pivots array<long>, bits array<long>"), "seen")
+    first = stored(seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("pivots").alias("pivots"), F.first("bits").alias("bits")), "first")
     known = first.filter("doc_id is not null")
     roots = components(similar(known)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
-    members = stored(known.select("doc_id", "digest").join(roots, "doc_id"), "members")
-    tagged = docs.withColumn("_digest", F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32)))
-    held = tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_digest").alias("digest"))
-    held = held.join(members, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "component_id", "text")
-    sets = stored(held.mapInArrow(_shingle_sets(size), "doc_id long, component_id long, words array<long>"), "sets")
+    members = stored(known.select("doc_id", "digest", "bits").join(roots, "doc_id"), "members")
+    texts = held.select("doc_id", "digest", "text").join(members, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "component_id", "bits", "text")
+    sets = stored(texts.mapInArrow(_shingle_sets(size), HELD_SCHEMA), "sets")
     gone = _settle(sets, similarity).distinct()
-    keepers = first.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    kept = tagged.join(keepers, "_digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keepers = first.join(gone, ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias("keeper"), "digest")
+    kept = held.join(keepers, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keeper"))).dropDuplicates(["digest"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
