@@ -19,9 +19,9 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float = 1.0, total:
     weight = F.coalesce(named[F.col("_source")], F.lit(float(other))) if weights else F.lit(float(other))
     counts = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
     counts = stored(counts.withColumn("_w", weight), "mix")
-    whole = counts.agg(F.sum("_w").alias("_sw"), F.sum("_n").alias("_sn"))
-    budget = F.col("_sn") if total is None else F.lit(float(total))
-    out = counts.crossJoin(F.broadcast(whole)).withColumn("_rate", F.col("_w") / F.col("_sw") * budget / F.col("_n"))  # whole: one row
+    weights_sum, rows_sum = counts.agg(F.sum("_w"), F.sum("_n")).first()
+    budget = float((rows_sum or 0) if total is None else total)
+    out = counts.withColumn("_rate", F.col("_w") / F.lit(weights_sum or 1.0) * F.lit(budget) / F.col("_n"))
     out = out.withColumn("_parts", F.greatest(F.ceil(F.col("_rate") / PART), F.lit(1)).cast("int"))
     out = out.withColumn("_mean", F.col("_rate") / F.col("_parts"))
     first = F.exp(-F.col("_mean"))
@@ -39,21 +39,23 @@ def replicate(docs: DataFrame, weights: dict[str, float], other: float = 1.0, to
 
     The mean of a source is weight / sum of weights * total / rows (total: as many rows as come in). The draw inverts the
     distribution at a number hashed from seed and doc_id, so it does not depend on partitions. Null and unnamed sources
-    take the weight `other`; rows with a null id share one draw, repeated ids too. Empty input gives no rows. Adds copy
-    (from 1), n_copies and order_key, by whose hash the rows are dealt out and sorted; input columns so named are replaced.
+    take the weight `other`; rows with a null id share one draw, repeated ids too. Texts, however long, are only carried.
+    Empty input gives no rows. Adds copy (from 1), n_copies and order_key, by whose hash the rows are dealt out and sorted;
+    input columns so named are replaced, all others stay whatever their names.
     """
     table = rates(docs, weights, other, total)
     few = table.count() <= BROADCAST_SOURCES
     kept = [c for c in docs.columns if c not in ("copy", "n_copies", "order_key")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col("source"), F.lit("")).alias("_source"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("source"), F.lit("")).alias("_source"))
     rows = rows.join(F.broadcast(table) if few else table, "_source")
     below = lambda u: F.size(F.filter(F.col("_cdf"), lambda c: c <= u))
-    draw = lambda j: F.transform(F.array(unit(F.lit(seed), F.col("doc_id"), j)), below)[0]
+    draw = lambda j: F.transform(F.array(unit(F.lit(seed), F.col("id"), j)), below)[0]
     n = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, j: a + draw(j))
-    rows = rows.withColumn("n_copies", n.cast("long")).filter("n_copies > 0").drop("_cdf", "_parts", "_rate", "_source")
+    rows = rows.withColumn("n_copies", n.cast("long")).filter("n_copies > 0").select("row", "id", "n_copies")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    rows = rows.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy"))))
-    return rows.repartition(partitions(docs), "order_key").sortWithinPartitions("order_key")
+    rows = rows.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("id"), F.lit("")), F.col("copy"))))
+    dealt = rows.repartition(partitions(docs), "order_key").sortWithinPartitions("order_key")
+    return dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "n_copies", "copy", "order_key")
 
 
 def sql(weights: dict[str, float], other: float, seed: int) -> str:
