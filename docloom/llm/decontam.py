@@ -187,8 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """docs without the rows that contaminated() finds; all columns stay."""
-    bad = stored(contaminated(docs, benchmark, share).select(F.col("key").alias("_key")).distinct(), "bad")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_key"))
-    return rows.join(bad, "_key", "left_anti").select(*own)
+    """docs without the rows that contaminated() finds; all columns stay, whatever their names."""
+    bad = stored(contaminated(docs, benchmark, share).select("key").distinct(), "bad")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"))
+    return rows.join(bad, "key", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
