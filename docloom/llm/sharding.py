@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Repeated rows are numbered in runs of so many.
+RUN = 100_000
 #: A tree is a list of regions, a region a list of racks, a rack a list of (shard, weight).
 Tree = list[list[list[tuple[int, float]]]]
 
@@ -55,27 +57,28 @@ def shard_documents(docs: DataFrame, shards: int = 40, rows_each: int = 100_000,
     """Place every row in a shard and number the rows of each shard without gaps from 0.
 
     The law is `key`: doc_id (null counts as an empty key) and the shard count decide. Equal ids, repeated rows included,
-    share a shard and get slots of their own. Null texts have no bytes: size 16, checksum 0. An empty table gives no rows.
-    Slots come from counts of (shard, hash part) groups of about `rows_each` rows, so no task holds a whole shard.
+    share a shard and get slots of their own. Null texts have no bytes: size 16, checksum 0. Texts, however long, are only
+    measured and carried. An empty table gives no rows. Slots come from counts of (shard, hash part) groups of about
+    `rows_each` rows, so no task holds a whole shard; equal rows are counted first and numbered last.
     `keep` names input columns to carry along; input columns that clash with an output column are left out.
     """
     key, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))
     parts = max(8, math.ceil(docs.count() / (shards * rows_each)))
-    part = F.pmod(F.xxhash64(F.lit("part"), key.cast("string")), F.lit(parts)).cast("int")
     own = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     kept = [c for c in keep or [] if c not in own]
-    rows = docs.select(
-        key,
-        *[F.col(f"`{c}`") for c in kept],
-        (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        part.alias("_part"),
-    )
-    rows = rows.withColumn("shard", place(key, layout(shards, base))).withColumn("grown_shard", place(key, layout(shards + 1, base)))
-    counts = docs.select(place(key, layout(shards, base)).alias("shard"), part.alias("_part")).groupBy("shard", "_part").count()
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("_slot", F.row_number().over(inside).cast("long") - 1).join(starts, ["shard", "_part"])
-    return placed.select("doc_id", *kept, "size", "text_crc32", "law", "shard", (F.col("_slot") + F.col("_start")).alias("slot"), "grown_shard")
+    rows = docs.select(key.alias("id"), F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("row"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    # Equal rows are counted before any shuffle, so that one that is repeated often is one row until it is numbered.
+    rows = rows.groupBy("id", "row", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
+    key = F.col("id")
+    part = F.pmod(F.xxhash64(F.lit("part"), key.cast("string"), F.col("crc")), F.lit(parts)).cast("int")
+    rows = rows.select("*", part.alias("part"), place(key, layout(shards, base)).alias("shard"), place(key, layout(shards + 1, base)).alias("grown_shard"))
+    known = docs.select(F.col("doc_id").alias("id"), F.crc32(text.cast("binary")).alias("crc"))
+    counts = known.select(place(key, layout(shards, base)).alias("shard"), part.alias("part")).groupBy("shard", "part").count()
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "part").orderBy("id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["shard", "part"])
+    placed = placed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    placed = placed.withColumn("k", F.explode(F.sequence(F.col("run"), F.least(F.col("n") - 1, F.col("run") + RUN - 1))))
+    names = [F.col(f"row.`{c}`").alias(c) for c in kept]
+    return placed.select(F.col("id").alias("doc_id"), *names, "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", (F.col("start") + F.col("first") + F.col("k")).alias("slot"), "grown_shard")
