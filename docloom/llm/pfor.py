@@ -1,7 +1,7 @@
 """A file of token ids in patched frame-of-reference blocks.
 
-Layout, little-endian: magic, then five unsigned 64-bit numbers (documents, ids, block length, blocks, exceptions); the
-documents' ids (signed 64-bit) and id counts (unsigned 32-bit); per block its minimum (unsigned 32-bit), width (a byte),
+Layout, little-endian: magic, then six unsigned 64-bit numbers (documents, ids, block length, blocks, exceptions, and
+documents without an id, which come first); the documents' ids (signed 64-bit) and id counts (unsigned 32-bit); per block its minimum (unsigned 32-bit), width (a byte),
 and the place of its packed bytes (unsigned 64-bit: the index of block starts); the exceptions, as place in the whole
 sequence (unsigned 64-bit) and value over the minimum (unsigned 32-bit); then the packed blocks, bit plane by bit plane.
 """
@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 
-MAGIC = b"PFORIDS1"
+MAGIC = b"PFORIDS2"
 BLOCK = 128
 #: The width of a block holds this share of its values; the rest are exceptions.
 SHARE = 0.95
 
 
-def dump(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK, share: float = SHARE) -> bytes:
+def dump(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK, share: float = SHARE, unnamed: int = 0) -> bytes:
     n = len(ids)
     blocks = -(-n // block)
     grid = np.empty(blocks * block, np.uint32)
@@ -41,7 +41,7 @@ def dump(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int =
             low = over[rows]
             planes = np.stack([np.packbits(((low >> np.uint32(j)) & np.uint32(1)).astype(np.uint8), axis=1) for j in range(int(w))], axis=1)
             body[(starts[rows].astype(np.int64)[:, None] + np.arange(int(w) * block // 8)).ravel()] = planes.reshape(len(rows), -1).ravel()
-    head = np.array([len(doc_ids), n, block, blocks, len(places)], "<u8")
+    head = np.array([len(doc_ids), n, block, blocks, len(places), unnamed], "<u8")
     parts = [head, doc_ids.astype("<i8"), counts.astype("<u4"), least.astype("<u4"), width, starts[:-1].astype("<u8"), places.astype("<u8"), values.astype("<u4"), body]
     return MAGIC + b"".join(p.tobytes() for p in parts)
 
@@ -52,8 +52,8 @@ class Reader:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a file of packed ids")
-        docs, self.n, self.block, blocks, exceptions = map(int, np.frombuffer(data, "<u8", 5, 8))
-        at = 48
+        docs, self.n, self.block, blocks, exceptions, self.unnamed = map(int, np.frombuffer(data, "<u8", 6, 8))
+        at = 56
         for name, kind, size in (("doc_ids", "<i8", docs), ("counts", "<u4", docs), ("least", "<u4", blocks), ("width", "u1", blocks), ("starts", "<u8", blocks), ("places", "<u8", exceptions), ("values", "<u4", exceptions)):
             setattr(self, name, np.frombuffer(data, kind, size, at))
             at += size * np.dtype(kind).itemsize

@@ -117,14 +117,15 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END, file_ids: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, coder = TaskContext.get().partitionId(), 0, encoder(path)
         ids: list[bytes] = []
-        names: list[int] = []
+        names: list[int | None] = []
         size, last = 0, np.array([end], "<u4").tobytes()
 
         def flush() -> pa.RecordBatch:
             counts = np.array([len(x) // 4 for x in ids], np.int64)
             flat = np.frombuffer(b"".join(ids), "<u4")
             name = f"{folder}/{part:06d}-{seq:06d}.ids"
-            write_file(name, dump(np.array(names, np.int64), counts, flat))
+            unnamed = names.count(None)  # nulls sort first
+            write_file(name, dump(np.array([n or 0 for n in names], np.int64), counts, flat, unnamed=unnamed))
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(ids)], "n_ids": [len(flat)]})
 
         for batch in batches:
@@ -136,7 +137,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END, file_ids: int
                         yield flush()
                         ids, names, size, seq = [], [], 0, seq + 1
                     ids.append(one + last)
-                    names.append(-1 if name is None else name)
+                    names.append(name)
                     size += len(one) // 4 + 1
         if ids:
             yield flush()
@@ -166,7 +167,7 @@ def read(files: DataFrame) -> DataFrame:
                     flat = data.read(int(starts[at]), int(ends[min(at + 2000, len(ends)) - 1])).astype("<u4")
                     own = [(int(s - starts[at]), int(e - starts[at])) for s, e in zip(starts[at : at + 2000], ends[at : at + 2000])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(data.doc_ids[at : at + 2000]), pa.array(starts[at : at + 2000] + first), pa.array(data.counts[at : at + 2000].astype(np.int64)), pa.array([crc32(flat[s:e].tobytes()) for s, e in own], pa.int64())],
+                        [pa.array(data.doc_ids[at : at + 2000], mask=np.arange(at, min(at + 2000, len(ends))) < data.unnamed), pa.array(starts[at : at + 2000] + first), pa.array(data.counts[at : at + 2000].astype(np.int64)), pa.array([crc32(flat[s:e].tobytes()) for s, e in own], pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
@@ -176,8 +177,9 @@ def read(files: DataFrame) -> DataFrame:
 def token_files(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """Encode every whole text, write the files to the shared folder, and give per document what the files hold.
 
-    Null texts count as empty: one id, the end. A null doc_id sorts first and comes back as -1. Repeated rows are written
-    as often as they come in. An empty table writes no file and gives no rows. Other columns are not read.
+    Null texts count as empty: one id, the end. A null doc_id sorts first and comes back null. Repeated rows are written as
+    often as they come in; rows with one doc_id are in the order of their texts' checksums, and among equal ones in any. A
+    text of any length is encoded whole. An empty table writes no file and gives no rows. Other columns are not read.
     """
     folder = scratch(docs.sparkSession, "ids")
     return read(stored(write(docs, folder, path or vocabulary(), end), "files"))
