@@ -56,7 +56,12 @@ def cuts(data: np.ndarray) -> np.ndarray:
     low = np.minimum(low[: len(low) - more], low[more:]) if len(low) > more else low[:0]
     at = np.flatnonzero(h[REACH : REACH + len(low)] == low) + REACH + 1
     ends = np.unique(np.append(at[at < n], n))
-    ends = ends[np.append(np.diff(ends, prepend=-REACH)[:-1] >= REACH, True)] if len(ends) > 1 else ends
+    if len(ends) > 1 and (np.diff(ends[:-1], prepend=0) < REACH).any():  # ties in periodic text: from its first cut on
+        kept, last = [], 0
+        for e in ends[:-1].tolist():
+            if e - last >= REACH:
+                kept.append(last := e)
+        ends = np.array([*kept, n], np.int64)
     starts = np.concatenate([[0], ends[:-1]])
     if (ends - starts).max() > LONGEST:
         ends = np.concatenate([np.append(np.arange(s + LONGEST, e, LONGEST), e) for s, e in zip(starts, ends)])
