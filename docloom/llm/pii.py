@@ -25,7 +25,7 @@ DIGIT = re.compile("[0-9]")
 TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]", re.I)
 WINDOW, STRIDE = 96, 48
 #: Labelled windows, their length, and steps of training.
-SAMPLES, LENGTH, STEPS = 4000, 64, 320
+SAMPLES, LENGTH, STEPS = 8000, 64, 700
 Span = tuple[int, int]
 
 
@@ -70,6 +70,7 @@ def _sample(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
     """A window of invented words with labelled spans in plain and disguised forms, or numbers that are no personal data."""
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda: "".join(rng.choice(["an", "er", "th", "ou", "st", "li", "ko", "ra", "me", "te", "ß", "é", "ción"], rng.integers(1, 5)))
+    name = lambda: word() if rng.random() < 0.3 else "".join(rng.choice(list("aaabcdeeefghiiijklmnooopqrstuuvwxyz"), rng.integers(2, 9)))
 
     def card() -> str:
         head = digits(15)
@@ -78,8 +79,9 @@ def _sample(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
     def made(kind: str) -> str:
         p = rng.integers(0, 4)
         if kind == "email":
-            host = f"{word()}{rng.integers(0, 99)}.{rng.choice(['com', 'org', 'net', 'example.com'])}"
-            return [f"{word()}.{word()}@{host}", f"{word()}{digits(2)}@{host}", f"{word()} (at) {host.replace('.', ' (dot) ')}", f"{word()}.{word()}[at]{host.replace('.', '[dot]')}"][p]
+            host = f"{name()}{digits(rng.integers(0, 3))}.{rng.choice(['com', 'org', 'net', 'de', 'io', 'example.com'])}"
+            local = [f"{name()}.{name()}", f"{name()}{digits(rng.integers(1, 6))}", f"{name()}{digits(rng.integers(0, 3))}", f"{name()}_{name()}"][rng.integers(0, 4)]
+            return [f"{local}@{host}", f"{local} at {host}".replace(" at ", "@"), f"{local} (at) {host.replace('.', ' (dot) ')}", f"{local}[at]{host.replace('.', '[dot]')}"][p]
         if kind == "ip":
             four = [str(x) for x in rng.integers(0, 256, 4)]
             return [".".join(four), ".".join(four), "[.]".join(four), " . ".join(four)][p]
@@ -87,7 +89,8 @@ def _sample(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
             c = card()
             return [c, " ".join(c[k : k + 4] for k in range(0, 16, 4)), "-".join(c[k : k + 4] for k in range(0, 16, 4)), ".".join(c[k : k + 4] for k in range(0, 16, 4))][p]
         a, b, c = digits(3), digits(3), digits(4)
-        return [f"+1 ({a}) {b}-{c}", f"+{rng.integers(20, 99)} {a} {b}{c}", f"({a}) {b}-{c}", f"00{rng.integers(20, 99)} {a} {b} {c}"][p]
+        s = rng.choice(["-", ".", " "])
+        return [f"+1 ({a}) {b}-{c}", f"{a}{s}{b}{s}{c}", f"({a}) {b}-{c}", f"00{rng.integers(20, 99)} {a} {b} {c}"][p]
 
     def other() -> str:
         p = rng.integers(0, 8)
