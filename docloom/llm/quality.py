@@ -67,8 +67,9 @@ def vote(name: str) -> F.Column:
     return F.when(x <= good if kind == "most" else x >= good, 1).when(x > bad if kind == "most" else x < bad, 0).otherwise(-1).cast("int")
 
 
-#: Prior knowledge of rules, as shares of all texts that count for it: a rule seldom votes against a good text, and
-#: against a bad text, of which there are many kinds, more often.
+#: Prior knowledge of rules, as shares of all texts that count for it: a rule votes against one good text in a hundred at
+#: most, and against a bad text, of which there are many kinds, more often. Without the bound, bad votes that hardly agree
+#: would be explained as false alarms.
 FALSE_ALARM, HITS = (0.01, 0.2), (0.3, 0.02)
 
 
@@ -87,7 +88,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[
         for r in range(rules):
             cast = [(q, n, p[r] == 0) for q, (p, n) in zip(good, patterns) if p[r] != -1]
             rate = lambda of, known: (sum(of(q) * n for q, n, no in cast if no) + known[0] * known[1] * mass) / (sum(of(q) * n for q, n, _ in cast) + known[1] * mass)
-            on_good = rate(lambda q: q, FALSE_ALARM)
+            on_good = min(rate(lambda q: q, FALSE_ALARM), FALSE_ALARM[0])
             table[r] = (max(rate(lambda q: 1 - q, HITS), on_good), on_good)
         good = [1 / (1 + math.exp(min(700, max(-700, -_odds(p, prior, table))))) for p, _ in patterns]
     return prior, table
@@ -108,7 +109,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, measured: DataFrame | None =
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows. kept: not base_failed and p_good at
     least the threshold. Only counts of vote patterns (at most 3 to the number of rules) reach the driver. Null and empty
-    texts fail the base; repeated rows get the same verdict; an empty table gives no rows. Input columns that clash with
+    texts fail the base; very long texts are measured whole; repeated rows get the same verdict; an empty table gives no rows. Input columns that clash with
     a measure are replaced.
     """
     own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaims", "n_letters", "n_bare", "n_distinct", "base_failed", "p_good", "kept"}
