@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         app = spark.sparkContext.applicationId
+        if not known.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not known.isDefined() and app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="docloom-")
         found = known.get() if known.isDefined() else _LOCAL[app]
@@ -26,7 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one folder for each application, which clear() deletes."""
+    return f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored: call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
