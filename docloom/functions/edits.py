@@ -415,6 +415,78 @@ def commit(text: str, profile: str, edits: list[tuple[str, int, dict]]) -> dict:
     return out | {"target_digest": sha256(new.encode()).hexdigest(), "text": new, "replacements": changes}
 
 
+def splice(text: str, replacements: list[tuple[int, int, str]]) -> str:
+    """Replace byte ranges of a text; overlaps and two insertions at one place are refused."""
+    data, out, at = text.encode(), bytearray(), 0
+    last = (-1, -1)
+    for s, e, new in sorted(replacements, key=lambda r: (r[0], r[1])):
+        if s < at or (s, e) == last or not s <= e <= len(data):
+            raise Failure("core.edit.overlap@1", s)
+        out += data[at:s] + new.encode()
+        at, last = e, (s, e)
+    return bytes(out + data[at:]).decode()
+
+
+def patch_documents(docs: DataFrame, edits: DataFrame, profile: str) -> DataFrame:
+    """Commit byte edits (doc_id, start_byte, end_byte, replacement) all or nothing for each document.
+
+    Gives doc_id, status, base_digest, target_digest, text and untouched (bytes kept, which must equal those of the base).
+    Overlapping edits, or a result that can't be formed completely where the base could, fail the whole document.
+    """
+    packed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte", "replacement"))).alias("edits"))
+    rows = docs.join(packed, "doc_id").select("doc_id", F.to_json(F.struct("text", "edits")).alias("text"))
+
+    def make_rows(batches):
+        import json
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for doc, packed_row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                row = json.loads(packed_row)
+                out.append((doc, *patch(row.get("text", ""), [(e["start_byte"], e["end_byte"], e.get("replacement", "")) for e in row["edits"]], profile)))
+            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, types)], names=["doc_id", "status", "base_digest", "target_digest", "text", "untouched"])
+
+    return rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(make_rows, "doc_id long, status string, base_digest string, target_digest string, text string, untouched long")
+
+
+def patch(text: str, replacements: list[tuple[int, int, str]], profile: str) -> tuple:
+    base = sha256(text.encode()).hexdigest()
+    try:
+        new = splice(text, replacements)
+    except Failure as e:
+        return e.code, base, None, None, None
+    before, after = formed(text, profile), formed(new, profile)
+    if isinstance(before, str) or any(not d[0].endswith("duplicate-member@1") for d in before.diagnostics):
+        return "core.edit.incomplete-base@1", base, None, None, None
+    if isinstance(after, str) or any(d not in before.diagnostics and not d[0].endswith("duplicate-member@1") for d in after.diagnostics):
+        return "core.edit.reparse@1", base, None, None, None
+    kept = len(text.encode()) - sum(e - s for s, e, _ in replacements)
+    if not untouched(text, new, replacements):
+        return "core.edit.untouched-bytes@1", base, None, None, None
+    return "Ok", base, sha256(new.encode()).hexdigest(), new, kept
+
+
+def gaps(size: int, replacements: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
+    """What a patch keeps: start and end in the base, and start in the target."""
+    out, at, shift = [], 0, 0
+    for s, e, new in sorted(replacements, key=lambda r: (r[0], r[1])):
+        if s > at:
+            out.append((at, s, at + shift))
+        shift += len(new.encode()) - (e - s)
+        at = e
+    return out + ([(at, size, at + shift)] if size > at else [])
+
+
+def untouched(base: str, target: str, replacements: list[tuple[int, int, str]]) -> bool:
+    """Does the target hold all bytes of the base outside the replacements, and nothing else but what they put?"""
+    old, new = base.encode(), target.encode()
+    kept = gaps(len(old), replacements)
+    return all(old[s:e] == new[t : t + e - s] for s, e, t in kept) and len(new) == sum(e - s for s, e, _ in kept) + sum(len(r.encode()) for _, _, r in replacements)
+
+
 def edit_documents(docs: DataFrame, requests: DataFrame, profile: str, dry_run: bool = False) -> DataFrame:
     """Commit requests (doc_id, operation, node_id, args: JSON with values in hex of their binary form) to documents.
 

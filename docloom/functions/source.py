@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Byte order marks, code pages and the words of secret names.
@@ -93,12 +93,3 @@ class Coordinates:
         if b != at:
             raise ValueError("core.source.offset-inside-character@1")
         return k, u
-
-
-def untouched(base: DataFrame) -> DataFrame:
-    """Gaps between ordered replacements (doc_id, start_byte, end_byte, text): the bytes an edit must keep."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("start_byte", "end_byte")
-    gaps = base.select("doc_id", F.coalesce(F.lag("end_byte").over(w), F.lit(0)).alias("gap_start"), F.col("start_byte").alias("gap_end"))
-    return gaps.filter("gap_end > gap_start")

@@ -513,7 +513,8 @@ def _function(name: str, act: Callable, sql: str | None) -> None:
 
 
 def _conversion() -> None:
-    from docloom.functions.convert import apply_plan, codes, convert, edit, project
+    from docloom.functions.convert import apply_plan, codes, convert, project
+    from docloom.functions.edits import patch_documents
     from docloom.functions.source import detect, digest, encoding, exit_class, redacted
 
     def docs(name: str):
@@ -542,7 +543,7 @@ def _conversion() -> None:
     def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         query = chain("json.native-semantic-query@1", "json.try-object-members", ("json.member-name-equals", {"name": "name"}), "json.member-value")
         at = query_documents(query, documents(spark, sf_dir, "json"), "json.strict@1").matches.select("doc_id", "start_byte", "end_byte", F.lit('"renamed"').alias("replacement"))
-        return edit(docs("json")(spark, sf_dir), at, "json.strict@1").select("doc_id", "status", "text", "untouched", (F.sha2(F.col("text"), 256) == F.col("target_digest")).alias("verified"))
+        return patch_documents(docs("json")(spark, sf_dir), at, "json.strict@1").select("doc_id", "status", "text", "untouched", (F.sha2(F.col("text"), 256) == F.col("target_digest")).alias("verified"))
 
     text = f"""'{{"id":' || {K} || ',"name":"renamed","tags":["' || {G} || '",' || {M_} || '],"sub":{{"x":1.50}}' || {dup("',\"id\":0'")} || '}}'"""
     _function("edit_replace_value", renamed, f"SELECT c_custkey::BIGINT AS doc_id, 'Ok' AS status, {text} AS text, (length({text}) - 9)::BIGINT AS untouched, true AS verified FROM customer")

@@ -180,6 +180,7 @@ class Parser:
                     self.k += 1
                 else:
                     del self.tree.rows[rows:]
+                    self.tree.scalars = {k: v for k, v in self.tree.scalars.items() if k <= rows}
                     names.clear()
                     names.update(before)
                     start = self.tokens[first][1]
@@ -246,6 +247,8 @@ class Parser:
 
         node = self.tree.add("HclExpression", kind, parent, start, self.tokens[self.k - 1][2], ordinal, state="literal" if value is not None else None, tag=value.kind if value is not None else None)
         self.tree[node]["text"] = scalar_text(value) if value is not None else None
+        if value is not None:
+            self.tree.scalars[node] = value
         return node, value
 
     def adopt(self, node: int, *kids: int) -> None:

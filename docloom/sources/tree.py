@@ -33,6 +33,7 @@ class Tree:
     diagnostics: list[tuple[str, int, int]] = field(default_factory=list)
     value: object = None
     encoding: str = "utf-8"
+    scalars: dict[int, object] = field(default_factory=dict)  # values of nodes that hold one
 
     def add(self, role: str, kind: str | None = None, parent: int | None = None, start: int = 0, end: int = 0, ordinal: int = 0, **more) -> int:
         self.rows.append({"role": role, "kind": kind, "parent_id": parent, "start_byte": start, "end_byte": end, "ordinal": ordinal, **more})

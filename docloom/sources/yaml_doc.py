@@ -46,6 +46,7 @@ class Parser:
         self.t, self.old, self.at, self.n = text, "1.1" in profile, 0, len(text)
         self.tree = Tree(text)
         self.anchors: dict[str, int] = {}
+        self.values: dict[int, object] = {}
         self.handles: dict[str, str] = {}
         self.marks: list[tuple[str, int, int]] = []
 
@@ -165,8 +166,6 @@ class Parser:
             self.values[node] = None
         return node
 
-    values: dict[int, object] = {}
-
     def alias(self, parent: int, ordinal: int) -> tuple[int, Value | None]:
         m = re.compile(r"\*([^\s,\[\]{}]+)").match(self.t, self.at) or self.fail()
         target = self.anchors.get(m[1]) or self.fail("yaml.alias.undefined@1")
@@ -231,6 +230,8 @@ class Parser:
             value = None
         row["text"] = text if value is None or value.kind == "String" else (scalar_text(value) if value.kind not in ("Null", "Decimal") else "null" if value.kind == "Null" else text)
         self.values[node] = value
+        if value is not None:
+            self.tree.scalars[node] = value
         return node, value
 
     def is_key(self, flow: bool) -> bool:

@@ -65,6 +65,40 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["text"] == '{"a": [1, 2]}\n'
 
 
+def test_files_are_edited_planned_and_applied(tmp_path, capsys):
+    import json
+
+    from docloom.functions.values import integer, encode
+
+    said = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", '{"x":1}'), ("b", '{"x":2}'), ("c", "[1"), ("d", '{"x":4}')):
+        (tmp_path / "in" / f"{name}.json").write_text(text)
+    new = json.dumps([{"operation": "insert-member", "node_id": 1, "args": {"name": "y", "value": encode(integer(5)).hex()}}])
+    (tmp_path / "edit.json").write_text(new)
+    one, many, plan, out = (str(tmp_path / x) for x in ("in/d.json", "in", "plan.json", "result.json"))
+    common = ["--profile", "json.strict@1", "--requests", str(tmp_path / "edit.json")]
+    assert main(["edit", one, *common, "--dry-run"]) == 0 and json.loads(said()[0]["target"]) == {"x": 4, "y": 5} and (tmp_path / "in/d.json").read_text() == '{"x":4}'
+    assert main(["edit", one, *common]) == 0 and said()[0]["status"] == "completed" and json.loads((tmp_path / "in/d.json").read_text()) == {"x": 4, "y": 5}
+    assert main(["plan", many, *common, "--output", plan]) > 0
+    assert [x["status"] for x in said()] == ["planned", "planned", "failed", "planned"]
+    (tmp_path / "in/b.json").write_text('{"x":3}')
+    assert main(["apply", plan, "--output", out]) > 0
+    assert [x["status"] for x in said()] == ["completed", "skipped-stale", "failed", "completed"]
+    assert json.loads((tmp_path / "in/a.json").read_text()) == {"x": 1, "y": 5} and (tmp_path / "in/b.json").read_text() == '{"x":3}'
+    assert [x["status"] for x in json.loads((tmp_path / "result.json").read_text())["files"]] == ["completed", "skipped-stale", "failed", "completed"]
+    main(["apply", plan, "--output", out])
+    assert [x["status"] for x in said()] == ["completed", "skipped-stale", "failed", "completed"]
+
+
+def test_values_are_materialized_and_cases_checked(spark, sf_dir, tmp_path, capsys):
+    (tmp_path / "v.json").write_text('{"kind":"Object","entries":[["a",{"kind":"Integer","value":"1"}]]}')
+    assert main(["materialize", str(tmp_path / "v.json"), "--style", "yaml.canonical-block@1"]) == 0
+    assert json.loads(capsys.readouterr().out)["text"] == '"a": 1\n'
+    assert main(["conformance", sf_dir, "--only", "json_member_value"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"case": "json_member_value", "status": "passed"}
+
+
 def test_the_library_does_without_the_llm_subpackage(tmp_path):
     code = "import sys; sys.modules['docloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and not any(n.startswith('op1_') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     from pathlib import Path

@@ -3,7 +3,7 @@ import tomllib
 
 import pytest
 
-from docloom.functions.convert import commit, splice
+from docloom.functions.edits import patch, splice, untouched
 from docloom.functions.materialize import Unrepresentable, materialize
 from docloom.functions.source import Coordinates
 from docloom.functions.values import Value, decimal_text, integer, scalar_text, string
@@ -101,9 +101,15 @@ def test_materializers_close_or_refuse():
 
 def test_edits_are_all_or_nothing():
     assert splice('{"é":1}', [(6, 7, "22")]) == '{"é":22}'
-    assert commit('{"a":1}', [(5, 6, "2"), (5, 6, "3")], "json.strict@1")[0] == "core.edit.overlap@1"
-    assert commit('{"a":1}', [(5, 6, "")], "json.strict@1")[0] == "core.edit.reparse@1"
-    assert commit('{"a":1}', [(5, 6, "[]")], "json.strict@1")[3] == '{"a":[]}'
+    assert patch('{"a":1}', [(5, 6, "2"), (5, 6, "3")], "json.strict@1")[0] == "core.edit.overlap@1"
+    assert patch('{"a":1}', [(5, 6, "")], "json.strict@1")[0] == "core.edit.reparse@1"
+    assert patch('{"a":1}', [(5, 6, "[]")], "json.strict@1")[3] == '{"a":[]}'
+
+
+def test_untouched_bytes_are_proved():
+    base, change = '{"é":1,"b":[2]}', [(6, 7, "ünd"), (12, 13, "")]
+    assert untouched(base, splice(base, change), change)
+    assert not untouched(base, splice(base, change) + " ", change) and not untouched(base, splice(base, change).replace("b", "c"), change)
 
 
 def test_coordinates():
