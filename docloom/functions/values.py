@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -61,6 +62,11 @@ def mapping(entries) -> Value:
     return Value("EntryMapping", entries)
 
 
+#: Digits of the longest integers that are read; Python's own limit is lower.
+DIGITS = 100_000
+if 0 < sys.get_int_max_str_digits() < 2 * DIGITS:
+    sys.set_int_max_str_digits(2 * DIGITS)
+
 # The tags of the binary form.
 TAGS = {"Null": 0x00, False: 0x01, True: 0x02, "Integer": 0x10, "Decimal": 0x11, "BinaryFloat32": 0x12, "BinaryFloat64": 0x13, "String": 0x20, "Bytes": 0x21, "Date": 0x30, "Time": 0x31, "LocalDateTime": 0x32, "OffsetDateTime": 0x33, "Sequence": 0x40, "Object": 0x41, "EntryMapping": 0x42}
 KINDS = {t: k for k, t in TAGS.items()}

@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.plans.algebra import Apply, Concat, Input, Query, validate
+from docloom.plans.algebra import Apply, Concat, Input, Query, StructureOrderMerge, validate
 from docloom.plans.catalog import DOMAINS, STRUCTURE, Operator, operators
 from docloom.plans.compile import LITERALS, Result
 from docloom.sources.scan import TYPES, bytes_of, formed, viewed
-from docloom.sources.tree import COLUMNS, NAMES, SCHEMA, Tree
+from docloom.sources.tree import COLUMNS, NAMES, Tree
 
 Row = dict
 Match = tuple[Row, tuple]  # a row and its place in the document's sequence
@@ -233,14 +233,23 @@ class Evaluator:
         return m[:1] if kind == "First" else m[-1:] if kind == "Last" else m
 
 
-def query_documents(query: Query, docs: DataFrame, profile: str, view: str | None = None, encoding: str | None = None) -> Result:
+def merges(node) -> bool:
+    """Does the query merge by places in the source?"""
+    return isinstance(node, StructureOrderMerge) or any(map(merges, getattr(node, "branches", ()))) or isinstance(node, Apply) and merges(node.input)
+
+
+def query_documents(query: Query, docs: DataFrame, profile: str, view: str | None = None, encoding: str | None = None, columns: tuple[str, ...] = NAMES) -> Result:
     """The result of a query over documents (doc_id, text or content), each parsed once and answered on the spot.
 
     matches and failures come from one scan each; documents that cannot be formed have no match. The matches' ord is what
-    the compiler gives, and pos their place.
+    the compiler gives, and pos their place. columns: those of the matches that are needed; without places in the source a
+    faster parser may do.
     """
     evaluator = Evaluator(query)
     pieces = "syntax" in query.domain or "hcl." in query.domain
+    kinds = dict(COLUMNS)
+    names = [c for c in NAMES if c in columns]
+    places = bool({"start_byte", "end_byte"} & set(names)) or merges(query.root)
 
     def answer(failures: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +257,7 @@ def query_documents(query: Query, docs: DataFrame, profile: str, view: str | Non
                 for at in range(0, batch.num_rows, 500):
                     part, ids, found, ords, spots = batch.slice(at, 500), [], [], [], []
                     for doc_id, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                        tree = viewed(formed(content, profile, encoding), view)
+                        tree = viewed(formed(content, profile, encoding, pieces, places or view is not None), view)
                         if isinstance(tree, str):
                             continue
                         try:
@@ -263,18 +272,18 @@ def query_documents(query: Query, docs: DataFrame, profile: str, view: str | Non
                         at_byte = bytes_of(tree.text, tree.encoding) if got else None
                         for k, (r, o) in enumerate(got):
                             ids.append(doc_id)
-                            found.append(tuple(at_byte(r[c]) if c in ("start_byte", "end_byte") and r.get(c) is not None else r.get(c) for c in NAMES))
+                            found.append(tuple(at_byte(r[c]) if c in ("start_byte", "end_byte") and r.get(c) is not None else r.get(c) for c in names))
                             ords.append(list(o))
                             spots.append(k)
                     if failures:
                         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "code"])
                         continue
-                    columns = list(zip(*found)) or [()] * len(COLUMNS)
-                    arrays = [pa.array(ids, pa.int64()), *[pa.array(c, TYPES[t]) for c, (_, t) in zip(columns, COLUMNS)], pa.array(ords, pa.list_(pa.int64())), pa.array(spots, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *NAMES, "ord", "pos"])
+                    values = list(zip(*found)) if found and names else [()] * len(names)
+                    arrays = [pa.array(ids, pa.int64()), *[pa.array(c, TYPES[kinds[n]]) for n, c in zip(names, values)], pa.array(ords, pa.list_(pa.int64())), pa.array(spots, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names, "ord", "pos"])
 
         return run
 
     content = "content" if "content" in docs.columns else "text"
     rows = docs.select(F.col("doc_id").cast("long"), F.col(content))
-    return Result(rows.mapInArrow(answer(False), f"{SCHEMA}, ord array<long>, pos long"), rows.mapInArrow(answer(True), "doc_id long, code string"))
+    return Result(rows.mapInArrow(answer(False), "doc_id long, " + "".join(f"{n} {kinds[n]}, " for n in names) + "ord array<long>, pos long"), rows.mapInArrow(answer(True), "doc_id long, code string"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.plans.algebra import Apply, Concat, Input, Query, StructureOrderMerge, chain
 from docloom.plans.inline import query_documents
 from docloom.sources.scan import scan
+from docloom.sources.tree import NAMES
 
 #: Every fifth customer's document repeats a key.
 DUP = "c_custkey % 5 = 0"
@@ -161,7 +162,8 @@ def add(name: str, source: str, steps, column: str, rows: list[Row] | str, *, se
     QUERIES[name] = (query, source, view)
 
     def act(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = query_documents(query, documents(spark, sf_dir, source), profile_of(source), view)
+        shown = tuple(n for n in NAMES if re.search(rf"\b{n}\b", column))
+        result = query_documents(query, documents(spark, sf_dir, source), profile_of(source), view, columns=shown)
         if failures:
             return result.failures.select("doc_id", F.lit(0).cast("long").alias("pos"), F.col("code").alias("value"))
         return result.ordered(F.expr(column).cast("string").alias("value"))
@@ -200,7 +202,7 @@ def _json() -> None:
     add("json5_syntax_identifiers", "json5", [("json.syntax-kind-is", {"kind": "Identifier"})], "text", [(0, "'id'"), (1, "'x'")], domain="json.lossless-syntax-query@2")
     add("json5_member_value", "json5", [top, "json.member-value"], "text", [(0, K), (1, "'16'")], domain="json.native-semantic-query@2")
     REGISTERED["json_event_values"] = (
-        lambda spark, sf_dir: query_documents(chain("json.native-semantic-query@1", top, ("json.member-name-equals", {"name": "k"}), "json.member-value"), documents(spark, sf_dir, "events"), "json.strict@1").ordered(F.col("kind"), F.expr("CAST(text AS BIGINT)").alias("v")),
+        lambda spark, sf_dir: query_documents(chain("json.native-semantic-query@1", top, ("json.member-name-equals", {"name": "k"}), "json.member-value"), documents(spark, sf_dir, "events"), "json.strict@1", columns=("kind", "text")).ordered(F.col("kind"), F.expr("CAST(text AS BIGINT)").alias("v")),
         "SELECT event_id AS doc_id, 0::BIGINT AS pos, 'Integer' AS kind, json_extract(props, '$.k')::BIGINT AS v FROM events",
     )
 

@@ -35,7 +35,7 @@ def parse(text: str, profile: str = "ini.portable@1") -> Tree:
     indent = 0
     sections: list[int] = []
     entries: list[int] = []
-    logical = None
+    logical, count = None, 0
     for n, (s, e, b) in enumerate(lines):
         line = text[s:e]
         physical = tree.add("IniPhysicalLine", None, root, s, b, n, text=line)
@@ -43,7 +43,8 @@ def parse(text: str, profile: str = "ini.portable@1") -> Tree:
         body = line.strip(" \t")
         more = python and last is not None and body and lead > indent and not body.startswith((";", "#"))
         if not more:
-            logical = tree.add("IniLogicalLine", None, root, s, b, sum(r["role"] == "IniLogicalLine" for r in tree.rows))
+            logical = tree.add("IniLogicalLine", None, root, s, b, count)
+            count += 1
         else:
             tree[logical]["end_byte"] = b
         tree[physical]["target_id"] = logical
@@ -104,7 +105,13 @@ def parse(text: str, profile: str = "ini.portable@1") -> Tree:
             tree.piece("LineBreak", e, b, "Trivia")
     tree.group(sections, lambda r: r["cmp_name"])
     tree.group(entries, (lambda r: (tree[r["parent_id"]]["cmp_name"], r["cmp_name"])) if windows else (lambda r: (r["parent_id"], r["cmp_name"])))
-    own = {k: [x for x in entries if tree[x]["parent_id"] == k] for k in sections}
-    part = lambda k: Value("EntryMapping", tuple((string(tree[x]["name"]), string(tree[x]["text"] or "")) for x in own[k]))
-    tree.value = Value("EntryMapping", tuple((string(tree[k]["name"]), part(k)) for k in sections))
+
+    def value() -> Value:
+        own: dict[int, list[int]] = {k: [] for k in sections}
+        for x in entries:
+            own[tree[x]["parent_id"]].append(x)
+        part = lambda k: Value("EntryMapping", tuple((string(tree[x]["name"]), string(tree[x]["text"] or "")) for x in own[k]))
+        return Value("EntryMapping", tuple((string(tree[k]["name"]), part(k)) for k in sections))
+
+    tree.defer(value)
     return tree

@@ -17,11 +17,15 @@ TOKENS = re.compile(
 )
 STRICT_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\Z")
 WORDS = {"true": "True", "false": "False", "null": "Null"}
+#: Tokens that need no second look.
+PLAIN = {"Whitespace", "LeftBrace", "RightBrace", "LeftBracket", "RightBracket", "Colon", "Comma", "String", "Number"}
 ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", '"': '"', "\\": "\\", "/": "/"}
 MORE = {"v": "\v", "0": "\0", "'": "'"}
 
 
 def _unescape(body: str, json5: bool) -> str | None:
+    if "\\" not in body:
+        return body
     out, k = [], 0
     while k < len(body):
         c = body[k]
@@ -62,23 +66,28 @@ class Parser:
         self.json5, self.comments = profile.startswith("json5"), not profile.startswith("json.")
         self.tree = Tree(text)
         self.tokens: list[tuple[str, int, int]] = []
-        at = 0
+        at, size, match, tokens, piece = 0, len(text), TOKENS.match, self.tokens, self.tree.piece
         if text.startswith("\ufeff"):
-            self.tree.piece("Bom", 0, 1, "Trivia")
+            piece("Bom", 0, 1, "Trivia")
             at = 1
-        while at < len(text):
-            m = TOKENS.match(text, at)
+        while at < size:
+            m = match(text, at)
             kind = m.lastgroup if m else "ErrorRegion"
             end = m.end() if m else at + 1
+            if not Tree.keep and kind in PLAIN:
+                if kind != "Whitespace":
+                    tokens.append((kind, at, end))
+                at = end
+                continue
             if kind == "Identifier" and m[0] in WORDS:
                 kind = WORDS[m[0]]
             if kind in ("LineComment", "BlockComment") and not self.comments:
                 self.tree.note("json.comment.not-allowed@1", at, end)
             if kind == "Whitespace" or kind.endswith("Comment"):
-                self.tree.piece(kind, at, end, "Trivia")
+                piece(kind, at, end, "Trivia")
             else:
-                self.tree.piece(kind, at, end, "ErrorRegion" if kind == "ErrorRegion" else "Token")
-                self.tokens.append((kind, at, end))
+                piece(kind, at, end, "ErrorRegion" if kind == "ErrorRegion" else "Token")
+                tokens.append((kind, at, end))
             at = end
         self.tokens.append(("End", len(text), len(text)))
         self.k = 0
@@ -105,6 +114,8 @@ class Parser:
 
     def number(self, t) -> Value | None:
         raw = self.text(t)
+        if raw.isdigit() and raw.isascii() and (raw[0] != "0" or raw == "0") and len(raw) < 4000:
+            return integer(int(raw))
         if not self.json5 and not STRICT_NUMBER.match(raw):
             self.tree.note("json.number.syntax@1", t[1], t[2])
             return None
@@ -204,5 +215,75 @@ def _shown(v: Value) -> str:
     return scalar_text(v)
 
 
+class _Number(str):
+    """The spelling of an integer."""
+
+
+class _Decimal(str):
+    """The spelling of a number with a fraction or an exponent."""
+
+
+class _Members(list):
+    """The members of an object."""
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def quick(text: str) -> Tree | None:
+    """The rows of a strict document without places in the source, by the standard library's scanner: the same rows but for
+    start_byte and end_byte. None where the document needs the full parser: it is broken, or has what that treats apart."""
+    import json
+
+    if "\\u" in text:
+        return None
+    try:
+        top = json.loads(text, object_pairs_hook=_Members, parse_int=_Number, parse_float=_Decimal, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return None
+    tree = Tree(text)
+    rows, add = tree.rows, tree.rows.append
+
+    def put(x, parent: int | None, depth: int) -> int | None:
+        kind = type(x)
+        if kind is str:
+            add({"role": "JsonValue", "kind": "String", "parent_id": parent, "ordinal": 0, "text": x})
+        elif kind is _Number:
+            if len(x) > 4000:
+                return None
+            add({"role": "JsonValue", "kind": "Integer", "parent_id": parent, "ordinal": 0, "text": str(x)})
+        elif kind is _Decimal:
+            v = decimal_text(x)
+            add({"role": "JsonValue", "kind": v.kind, "parent_id": parent, "ordinal": 0, "text": _shown(v)})
+        elif kind is _Members or kind is list:
+            if depth > 200:
+                return None
+            own = kind is _Members
+            add({"role": "JsonValue", "kind": "Object" if own else "Array", "parent_id": parent, "ordinal": 0})
+            node, names = len(rows), set()
+            for k, item in enumerate(x):
+                name = None
+                if own:
+                    name, item = item
+                    if name in names:
+                        tree.note("json.object.duplicate-member@1")
+                    names.add(name)
+                row = {"role": "JsonObjectMember" if own else "JsonArrayElement", "kind": None, "parent_id": node, "ordinal": k, "name": name}
+                add(row)
+                row["value_id"] = len(rows) + 1
+                if put(item, len(rows), depth + 1) is None:
+                    return None
+            return node
+        else:
+            add({"role": "JsonValue", "kind": "Null" if x is None else "Boolean", "parent_id": parent, "ordinal": 0, "text": "null" if x is None else "true" if x else "false"})
+        return len(rows)
+
+    if put(top, None, 0) is None:
+        return None
+    tree.defer(lambda: Parser(text, "json.strict@1").parse().value)
+    return tree
+
+
 def parse(text: str, profile: str = "json.strict@1") -> Tree:
     return Parser(text, profile).parse()

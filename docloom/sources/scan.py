@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.sources.json_doc import quick
 from docloom.sources.tree import COLUMNS, SCHEMA, Failure, Tree, bytes_of, failed
 
 MODULES = {"json": "json_doc", "jsonc": "json_doc", "json5": "json_doc", "toml": "toml_doc", "yaml": "yaml_doc", "ini": "ini_doc", "java-properties": "properties_doc", "xml": "xml_doc", "plist": "plist_doc", "hcl": "hcl_doc"}
@@ -63,14 +64,21 @@ def parse(content: str | bytes, profile: str, encoding: str | None = None) -> Tr
     return tree
 
 
-def formed(content, profile: str, encoding: str | None = None) -> Tree | str:
+def formed(content, profile: str, encoding: str | None = None, pieces: bool = True, places: bool = True) -> Tree | str:
     """A tree, or the code of the failure. Text too deep for the parser counts as a depth failure."""
+    if not pieces and not places and profile == "json.strict@1" and isinstance(content, str) and (found := quick(content)) is not None:
+        return found
+    Tree.keep = pieces
     try:
         return parse(content if content is not None else "", profile, encoding)
     except Failure as e:
         return e.code
     except RecursionError:
         return "core.parse.depth@1"
+    except (ValueError, ArithmeticError):  # a value that cannot be held fails its document, not the others
+        return "core.parse.invalid-value@1"
+    finally:
+        Tree.keep = True
 
 
 def viewed(tree: Tree | str, view: str | None) -> Tree | str:
@@ -103,7 +111,7 @@ def scan(docs: DataFrame, profile: str, pieces: bool = False, view: str | None =
                 ids, found = [], []
                 part = batch.slice(at, 500)
                 for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tree = viewed(formed(content, profile, encoding), view)
+                    tree = viewed(formed(content, profile, encoding, pieces), view)
                     table = failed(tree) if isinstance(tree, str) else tree.table(pieces)
                     ids += [doc] * len(table)
                     found += table
@@ -125,7 +133,7 @@ def each(docs: DataFrame, profile: str, make: Callable[[Tree | str], tuple], sch
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [make(formed(c, profile)) for c in part.column(1).to_pylist()]
+                found = [make(formed(c, profile, None, False)) for c in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(zip(*found), types)]], names=["doc_id", *names])
 
     content = "content" if "content" in docs.columns else "text"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 #: Columns of the node table after doc_id. Every entity of a document is a row; associations (members, entries, elements)
 #: are rows of their own that point to what they hold.
@@ -31,10 +33,28 @@ class Tree:
     rows: list[dict] = field(default_factory=list)
     pieces: list[tuple[str, str, int, int]] = field(default_factory=list)
     diagnostics: list[tuple[str, int, int]] = field(default_factory=list)
-    value: object = None
     encoding: str = "utf-8"
     scalars: dict[int, object] = field(default_factory=dict)  # values of nodes that hold one
 
+    #: Whether pieces are kept; scans that do not ask for them turn it off while they parse.
+    keep: ClassVar[bool] = True
+    _value: object = None
+    _later: Callable[[], object] | None = None
+
+    @property
+    def value(self) -> object:
+        """The portable value, or None; made when first asked for where the parser deferred it."""
+        if self._later is not None:
+            self._value, self._later = self._later(), None
+        return self._value
+
+    @value.setter
+    def value(self, value: object) -> None:
+        self._value, self._later = value, None
+
+    def defer(self, make: Callable[[], object]) -> None:
+        self._later = make
+
     def add(self, role: str, kind: str | None = None, parent: int | None = None, start: int = 0, end: int = 0, ordinal: int = 0, **more) -> int:
         self.rows.append({"role": role, "kind": kind, "parent_id": parent, "start_byte": start, "end_byte": end, "ordinal": ordinal, **more})
         return len(self.rows)
@@ -43,7 +63,7 @@ class Tree:
         return self.rows[node - 1]
 
     def piece(self, kind: str, start: int, end: int, form: str = "Token") -> None:
-        if end > start:
+        if end > start and self.keep:
             self.pieces.append((form, kind, start, end))
 
     def note(self, code: str, start: int = 0, end: int = 0) -> None:

@@ -16,6 +16,9 @@ XMLNS = {"xml": "http://www.w3.org/XML/1998/namespace", "xmlns": "http://www.w3.
 BUDGET = 1 << 20
 
 
+END = re.compile(rf"</({NAME})(\s*)>")
+
+
 class Parser:
     def __init__(self, text: str):
         self.t, self.tree, self.at = text, Tree(text), 0
@@ -40,6 +43,9 @@ class Parser:
 
     def pieces(self, *parts: tuple[str, int]) -> None:
         """Pieces one after another from here: kind and length."""
+        if not Tree.keep:
+            self.at += sum(size for _, size in parts)
+            return
         for kind, size in parts:
             self.tree.piece(kind, self.at, self.at + size, "Trivia" if kind in ("whitespace", "line-break", "bom") or kind.startswith("comment") else "Token")
             self.at += size
@@ -123,9 +129,9 @@ class Parser:
                 else:
                     counts[where] = counts.get(where, 0) + 1
                 continue
-            if m := re.compile(rf"</({NAME})(\s*)>").match(t, s):
+            if m := END.match(t, s):
                 self.pieces(("end-tag-open", 2), ("local-name", len(m[1])), ("whitespace", len(m[2])), ("tag-close", 1))
-                if not stack or m[1] not in [x[1] for x in stack]:
+                if not stack or stack[-1][1] != m[1] and m[1] not in [x[1] for x in stack]:
                     tree.note("xml.element.extra-end-tag@1", s, m.end())
                 else:
                     if stack[-1][1] != m[1]:
@@ -156,13 +162,16 @@ class Parser:
             if r["role"] == "XmlElement":
                 kids.setdefault(r["parent_id"], []).append(k)
         tree.order(kids.get(document, []), lambda n: kids.get(n, []))
-        tree.value = record(tree, kids.get(document, [None])[0]) if roots == 1 and not tree.diagnostics else None
+        if roots == 1 and not tree.diagnostics:
+            tree.defer(lambda: record(tree, kids[document][0]))
         return tree
 
     def content(self, parent: int, counts: dict, s: int, end: int) -> None:
         raw, tree = self.t[s:end], self.tree
-        node = tree.add("XmlText", "text", parent, s, end, counts.get(parent, 0), text=self.expand(re.sub("\r\n?", "\n", raw), s))
+        node = tree.add("XmlText", "text", parent, s, end, counts.get(parent, 0), text=self.expand(re.sub("\r\n?", "\n", raw), s) if "&" in raw or "\r" in raw else raw)
         counts[parent] = counts.get(parent, 0) + 1
+        if "&" not in raw:
+            return self.pieces(("text", len(raw)))
         at, n = 0, 0
         for m in REFERENCE.finditer(raw):
             self.pieces(("text", m.start() - at), ("character-reference" if not m[3] else "entity-reference", len(m[0])))

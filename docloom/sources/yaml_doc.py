@@ -13,6 +13,9 @@ ESCAPES = {"0": "\0", "a": "\a", "b": "\b", "t": "\t", "n": "\n", "v": "\v", "f"
 FLOW = {"[": "FlowSequenceStart", "]": "FlowSequenceEnd", "{": "FlowMappingStart", "}": "FlowMappingEnd", ",": "FlowEntry"}
 
 
+ALIAS = re.compile(r"\*([^\s,\[\]{}]+)")
+
+
 def resolve(text: str, old: bool) -> tuple[str, Value]:
     """Tag and value of a plain scalar: null, bool, int, float, (1.1) timestamp, else str."""
     if text in ("", "~", "null", "Null", "NULL"):
@@ -20,6 +23,8 @@ def resolve(text: str, old: bool) -> tuple[str, Value]:
     words = {"true": True, "false": False} | ({"y": True, "n": False, "yes": True, "no": False, "on": True, "off": False} if old else {})
     if text.lower() in words and text in (text.lower(), text.capitalize(), text.upper()):
         return "bool", Value("Boolean", words[text.lower()])
+    if text.isalpha() and text.lower() not in ("true", "false", "null") and not old:
+        return "str", string(text)
     plain = text.replace("_", "") if old else text
     if m := re.fullmatch(r"([-+]?)(0x[0-9a-fA-F]+|0b[01]+" + ("" if old else "|0o[0-7]+") + ")", plain):
         return "int", integer((-1 if m[1] == "-" else 1) * int(m[2], 0))
@@ -128,6 +133,8 @@ class Parser:
     def cover(self) -> None:
         """Pieces for the marks, and white space and line breaks for what lies between."""
         at = 0
+        if not Tree.keep:
+            return
         for kind, s, e in [*sorted(self.marks, key=lambda m: m[1]), ("", self.n, self.n)]:
             for m in re.finditer(r"\r?\n|\ufeff|[^\r\n\ufeff]+|\r", self.t[at:s]):
                 self.tree.piece("Newline" if m[0].endswith("\n") else "Bom" if m[0] == "\ufeff" else "Whitespace", at + m.start(), at + m.end(), "Trivia")
@@ -167,7 +174,7 @@ class Parser:
         return node
 
     def alias(self, parent: int, ordinal: int) -> tuple[int, Value | None]:
-        m = re.compile(r"\*([^\s,\[\]{}]+)").match(self.t, self.at) or self.fail()
+        m = ALIAS.match(self.t, self.at) or self.fail()
         target = self.anchors.get(m[1]) or self.fail("yaml.alias.undefined@1")
         self.tree.add("YamlAliasOccurrence", None, parent, self.at, m.end(), ordinal, name=m[1], target_id=target)
         self.mark("Alias", self.at, m.end())

@@ -137,6 +137,16 @@ def test_hcl_goes_on_after_a_failed_item(text, names, lost):
     assert "".join(text[s:e] for _, _, s, e in tree.pieces) == text and tree.value is None and tree.diagnostics
 
 
+@pytest.mark.parametrize("text", ['{"a":1,"b":[1.50,-0,true,null,"x"],"a":{"c":{}},"d":[]}', "[]", '"x"', " 12 ", "-1.5e3", '{"a":"\u00e9"}', '{"a"', "[1,]", "NaN", "", "[" * 300 + "]" * 300, '"\t"', "01", '{"n":' + "9" * 5000 + "}"])
+def test_the_quick_parser_gives_the_same_rows(text):
+    full, fast = formed(text, "json.strict@1", None, False), formed(text, "json.strict@1", None, False, False)
+    if isinstance(full, str):
+        assert fast == full
+        return
+    rows = lambda t: [{k: v for k, v in r.items() if k not in ("start_byte", "end_byte") and v is not None} for r in t.rows]
+    assert rows(full) == rows(fast) and [c for c, _, _ in full.diagnostics] == [c for c, _, _ in fast.diagnostics] and full.value == fast.value
+
+
 def test_sources_in_other_encodings():
     mark = "﻿"
     for profile, text in (("yaml.1.2-core@1", "a: é𝄞\n"), ("xml.1.0-safe@1", "<a>é𝄞</a>"), ("ini.windows@1", "[S]\r\nk=é𝄞\r\n")):

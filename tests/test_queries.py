@@ -104,7 +104,9 @@ def test_empty_table(spark):
 @pytest.fixture(scope="module")
 def kept(spark, sf_dir):
     """Node tables of a few documents of each set, kept as a user would keep them."""
-    held = {}
+    held, old = {}, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
 
     def get(source, pieces, view):
         if (source, pieces, view) not in held:
@@ -113,6 +115,8 @@ def kept(spark, sf_dir):
         return held[source, pieces, view]
 
     yield get
+    for k, v in old.items():
+        spark.conf.set(k, v)
     for docs, nodes in held.values():
         docs.unpersist()
         nodes.unpersist()
