@@ -62,6 +62,32 @@ def test_base_patterns_equal_plain_regular_expressions():
     assert pii.base_spans("ring +1 (487) 555-7209 now, +12 no")["phone"] == [(5, 22)]
 
 
+def plain_spans(text):
+    """All base spans by the plain patterns."""
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", lambda x: 16 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 8 <= len(digits(x)) <= 15),
+    }
+    return {k: [m.span() for m in re.finditer(p, text) if ok(m[0])] if k != "email" or "@" in text else [] for k, (p, ok) in kinds.items()}
+
+
+def test_base_spans_equal_plain_patterns_on_whole_tables():
+    import pyarrow.parquet as pq
+
+    texts, rng = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()], random.Random(11)
+    made = lambda: "".join(rng.choice(["4111 1111 1111 1111", "4111111111111111", "1234-5678-9012-3456", "+1 (415) 555-0123", "+49 30 1234567", "10.0.0.256", "192.168.0.1", "a.b@c-d.org", "12", "7", " ", "-", ".", "+", "(", "x", "@"]) for _ in range(rng.randint(1, 12)))
+    found = Counter()
+    for t in texts + [made() for _ in range(5000)]:
+        got = pii.base_spans(t)
+        assert got == plain_spans(t)
+        found += Counter({k: len(v) for k, v in got.items()})
+    assert all(found[k] > 100 for k in KINDS)
+
+
 def test_tagger_learns_and_windows_agree():
     model = pii.trained()
     _, ids, tags = pii.labelled(200, seed=99)
@@ -175,6 +201,31 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
 
 
 # 4
+def plain_cuts(data):
+    """Chunk ends by the definition: where the hash of the last bytes is the least of those around."""
+    R, n = chunks.REACH, len(data)
+    h = [sum(int(chunks.GEAR[data[i - k]]) << k for k in range(min(R, i + 1))) % (1 << 32) for i in range(n)]
+    ends = [i + 1 for i in range(R, n - R) if h[i] == min(h[i - R : i + R + 1]) and i + 1 < n]
+    if any(b - a < R for a, b in zip([0, *ends], ends)):
+        kept = []
+        for e in ends:
+            if e - (kept[-1] if kept else 0) >= R:
+                kept.append(e)
+        ends = kept
+    out = []
+    for a, b in zip([0, *ends], [*ends, n]):
+        out += [*range(a + chunks.LONGEST, b, chunks.LONGEST), b]
+    return out if n else []
+
+
+def test_cuts_equal_their_definition():
+    rng = random.Random(9)
+    for _ in range(60):
+        data = bytes(rng.choice(b"abc de") if rng.random() < 0.9 else rng.randint(0, 255) for _ in range(rng.choice([0, 1, 15, 16, 17, 33, 200, 900])))
+        data += rng.choice([b"", b"x" * 300, b"ab" * 100, data[:50]])
+        assert chunks.cuts(np.frombuffer(data, np.uint8)).tolist() == plain_cuts(data)
+
+
 def test_periodic_passages_keep_their_cuts():
     for unit in (b"ab", b"word ", b"0123456789" * 3):
         passage = unit * 400
@@ -424,6 +475,19 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminated_pairs_equal_the_plain_version(spark, sf_dir):
+    import plain
+
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = {r.item_id: plain.tokens_of(r.text) for r in bench.collect()}
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        words = plain.tokens_of(r.text)
+        found = {w: plain.keyed(words, w) for w in {min(8, len(i)) for i in items.values() if len(i) >= 5}}
+        want |= {(r.doc_id, k) for k, i in items.items() if len(i) >= 5 and plain.holds(words, found[min(8, len(i))], i)}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == want and want
+
+
 def test_items_of_numbers_and_names_are_found_word_for_word(spark):
     items = ["12, 15, 18, 21, 24, 27, 30, 33, 36, 39, 42, 45", "Anna Berta Carla Dora Emma Frida Greta Hanna Ida Jana", "GIVE THE SUM OF ALL PRIME NUMBERS BELOW NINETY AND TEN", "3 4 5 6 7"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
