@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -218,3 +219,35 @@ def codes(docs: DataFrame, profile: str) -> DataFrame:
         return "Ok", encode(found), h - (1 << 64) if h >> 63 else h
 
     return each(docs, profile, make, "status string, pgce binary, hash long")
+
+
+def write_yaml(graph: Graph) -> str:
+    """A YAML stream of the graph's roots in flow style: every node with its tag, shared ones with an anchor, a document each.
+
+    A node that two documents share, or whose own text cannot be quoted, cannot be written.
+    """
+    count = [0] * len(graph.nodes)
+    for at in [*graph.roots, *[x for n in graph.nodes for x in n.edges()]]:
+        count[at] += 1
+    prefix, done, out = "tag:yaml.org,2002:", set(), []
+
+    def put(at: int, own: set[int]) -> str:
+        node = graph.nodes[at]
+        if at in own:
+            return f"*n{at}"
+        if at in done:
+            raise GraphError("yaml.materialization.shared-between-documents@1")
+        own.add(at)
+        tag = f"!!{node.tag[len(prefix) :]}" if node.tag.startswith(prefix) and node.tag[len(prefix) :].isalpha() else f"!<{node.tag}>"
+        head = (f"&n{at} " if count[at] > 1 else "") + tag + " "
+        if node.kind == "Scalar":
+            return head + json.dumps(node.content, ensure_ascii=False).replace("\x7f", "\\u007f").replace("\x85", "\\u0085").replace("\u2028", "\\u2028").replace("\u2029", "\\u2029")
+        if node.kind == "Sequence":
+            return head + "[" + ", ".join(put(x, own) for x in node.content) + "]"
+        return head + "{" + ", ".join(f"? {put(k, own)} : {put(v, own)}" for k, v in node.content) + "}"
+
+    for root in graph.roots:
+        own: set[int] = set()
+        out.append("--- " + put(root, own) + "\n")
+        done |= own
+    return "".join(out)

@@ -328,6 +328,10 @@ class Parser:
             if self.t[self.at] == closer:
                 break
             holder = self.tree.add("YamlSequenceElement" if opener == "[" else "YamlMappingEntry", None, node, self.at, self.at, len(found))
+            if opener == "{" and self.t[self.at] == "?" and self.t[self.at + 1 : self.at + 2] in (" ", "\t", "\n", "\r"):
+                self.mark("ExplicitKey", self.at, self.at + 1)
+                self.at += 1
+                self.skip()
             first, value = self.node(-1, holder, 0, flow=True)
             self.skip()
             if opener == "{":

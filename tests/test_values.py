@@ -130,3 +130,18 @@ def test_paths_lead_to_their_values(value):
     assert not Path() < Path() and Path().child("SequenceElement", 2) < Path().child("SequenceElement", 10)
     with pytest.raises(ValueError):
         Path().child("ObjectValue", 1)
+
+
+@pytest.mark.parametrize("text", ["a: 1\nb: [x, ~, 1.5, true]\n", "- &x {k: 1}\n- *x\n", "&r [1, *r]\n", "a\n---\n- b\n", "? [1, 2]\n: {x: y}\n", '- "tab\\t\\u0085 é𝄞 \\\\ \\""\n- !custom z\n', "{}\n", "&a {&b k: *b, z: *a}\n"])
+def test_graphs_are_written_and_read_back(text):
+    graph = yaml_graph(text)
+    assert yaml_graph(G.write_yaml(graph)) == graph
+
+
+def test_graphs_that_documents_share_are_refused():
+    b = G.Builder()
+    x = b.node("Scalar", "tag:yaml.org,2002:str", "x")
+    b.root(x)
+    b.root(x)
+    with pytest.raises(G.GraphError):
+        G.write_yaml(b.build())
