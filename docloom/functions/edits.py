@@ -390,14 +390,49 @@ def family_of(profile: str) -> str:
     return "json" if family.startswith("json") else family
 
 
+# How a new value may be spelled in place of an old one.
+POLICIES = ("ExactLiteral", "PreserveCompatible", "CanonicalForProfile", "PreserveElseCanonical")
+
+
+def _category(kind: str | None) -> str:
+    low = (kind or "").lower()
+    return "number" if low in ("integer", "decimal", "float", "real", "number", "binaryfloat64") else "string" if low in ("string", "template") else low
+
+
+def represented(tree: Tree, operation: str, node: int, args: dict) -> tuple[dict, bool]:
+    """The arguments without their representation policy, and whether a value is spelled canonically though the old one was of
+    another category. ExactLiteral takes literals only; PreserveCompatible keeps the category; CanonicalForProfile (the
+    default) takes any value; PreserveElseCanonical keeps the category or says that it did not."""
+    policy = args.get("policy", "CanonicalForProfile")
+    rest = {k: v for k, v in args.items() if k != "policy"}
+    if policy not in POLICIES:
+        _refuse("policy")
+    replaces = operation.startswith(("replace", "set")) and "value" in args
+    if not replaces or policy == "CanonicalForProfile":
+        return rest, False
+    if policy == "ExactLiteral":
+        _refuse("representation")
+    if not 0 < node <= len(tree.rows):
+        return rest, False
+    row = tree[node]
+    held = row if row.get("value_id") is None else tree[row["value_id"]]
+    kept = _category(held.get("kind")) == _category(decode(bytes.fromhex(args["value"])).kind)
+    if not kept and policy == "PreserveCompatible":
+        _refuse("representation")
+    return rest, not kept
+
+
 def commit(text: str, profile: str, edits: list[tuple[str, int, dict]]) -> dict:
-    """Plan all edits on one source, splice them, parse the result; status, text, replacements and digests."""
+    """Plan all edits on one source, splice them, parse the result; status, text, replacements, digests, and how many values
+    fell back to their canonical spelling."""
     base = formed(text, profile)
-    out = {"status": "Ok", "base_digest": sha256(text.encode()).hexdigest(), "target_digest": None, "text": None, "replacements": []}
+    out = {"status": "Ok", "base_digest": sha256(text.encode()).hexdigest(), "target_digest": None, "text": None, "replacements": [], "fallbacks": 0}
     if isinstance(base, str) or any(not c.endswith("duplicate-member@1") for c, _, _ in base.diagnostics):
         return out | {"status": "core.edit.incomplete-base@1"}
     try:
-        changes = [c for op, node, args in edits for c in OPERATIONS[family_of(profile)][op](Source(base), node, args)]
+        asked = [(op, node, *represented(base, op, node, args)) for op, node, args in edits]
+        out["fallbacks"] = sum(fell for *_, fell in asked)
+        changes = [c for op, node, args, _ in asked for c in OPERATIONS[family_of(profile)][op](Source(base), node, args)]
         changes.sort(key=lambda c: (c[0], c[1]))
         new, at = "", 0
         for k, (s, e, put) in enumerate(changes):
@@ -487,6 +522,16 @@ def untouched(base: str, target: str, replacements: list[tuple[int, int, str]])
     return all(old[s:e] == new[t : t + e - s] for s, e, t in kept) and len(new) == sum(e - s for s, e, _ in kept) + sum(len(r.encode()) for _, _, r in replacements)
 
 
+def plan_documents(docs: DataFrame, requests: DataFrame, profile: str) -> DataFrame:
+    """A batch plan for documents (doc_id, path, text): path, status (planned or failed), code, base_digest, target_digest and
+    target, which apply_plan() takes. Nothing is written; documents without requests are not in the plan."""
+    done = edit_documents(docs, requests, profile)
+    fine = F.col("status") == "Ok"
+    return docs.select("doc_id", "path").join(done, "doc_id").select(
+        "path", F.when(fine, "planned").otherwise("failed").alias("status"), F.when(~fine, F.col("status")).alias("code"), "base_digest", "target_digest", F.col("text").alias("target")
+    )
+
+
 def edit_documents(docs: DataFrame, requests: DataFrame, profile: str, dry_run: bool = False) -> DataFrame:
     """Commit requests (doc_id, operation, node_id, args: JSON with values in hex of their binary form) to documents.
 

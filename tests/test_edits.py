@@ -1,8 +1,11 @@
+import json
+
 import pytest
 
+from docloom.functions import values as V
 from docloom.functions.edits import OPERATIONS, commit, edit_documents
 from docloom.functions.values import Value, encode, integer, sequence, string
-from docloom.sources.scan import parse
+from docloom.sources.scan import formed, parse
 
 ONE, TEXT = integer(1), string("n w")
 
@@ -108,3 +111,30 @@ def test_edits_over_a_table(spark):
     got = {r.doc_id: r for r in edit_documents(docs, requests, "json.strict@1").collect()}
     assert got[2].text == '{"a": 2, "b": true}' and got[3].status == "core.edit.target-role@1" and got[3].text is None and 4 not in got
     assert all(r.text is None and r.patch for r in edit_documents(docs, requests, "json.strict@1", dry_run=True).collect())
+
+
+def test_representation_policies():
+    text, profile = '{"a": 1, "b": "x"}', "json.strict@1"
+    number, word = (V.encode(v).hex() for v in (integer(5), string("y")))
+    at = next(k for k, r in enumerate(formed(text, profile).rows, 1) if r["role"] == "JsonValue" and r["kind"] == "Integer")
+    operation = next(o for o in OPERATIONS["json"] if o.startswith("replace") and "semantic" in o or o == "replace-value" or o == "replace-scalar")
+    one = lambda value, policy: commit(text, profile, [(operation, at, {"value": value, "policy": policy})])
+    assert one(number, "PreserveCompatible")["text"] == '{"a": 5, "b": "x"}' and one(number, "PreserveElseCanonical")["fallbacks"] == 0
+    assert one(word, "PreserveCompatible")["status"] == "core.edit.representation@1" == one(number, "ExactLiteral")["status"]
+    assert one(word, "PreserveElseCanonical")["fallbacks"] == 1 and one(word, "CanonicalForProfile")["text"] == '{"a": "y", "b": "x"}'
+    assert one(word, "Anything")["status"] == "core.edit.policy@1"
+
+
+def test_documents_are_planned_and_applied(spark):
+    from docloom.functions.convert import apply_plan
+    from docloom.functions.edits import plan_documents
+
+    docs = spark.createDataFrame([(1, "a.json", '{"a":1}'), (2, "b.json", "[1"), (3, "c.json", "{}")], "doc_id long, path string, text string")
+    args = json.dumps({"name": "n", "value": V.encode(V.integer(2)).hex()})
+    requests = spark.createDataFrame([(1, "insert-member", 1, args), (2, "insert-member", 1, args)], "doc_id long, operation string, node_id int, args string")
+    plan = plan_documents(docs, requests, "json.strict@1")
+    got = {r.path: (r.status, r.code) for r in plan.collect()}
+    assert got == {"a.json": ("planned", None), "b.json": ("failed", "core.edit.incomplete-base@1")}
+    files = docs.select("path", docs.text.alias("content"))
+    after = {r.path: (r.status, r.content) for r in apply_plan(files, plan.filter("status = 'planned'")).collect()}
+    assert after["a.json"][0] == "completed" and json.loads(after["a.json"][1]) == {"a": 1, "n": 2}
