@@ -51,8 +51,8 @@ class Words:
         return len(self.rows) - 1
 
     def look(self, words: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash and kind of each word, hash of its plain form, and whether it is no name for its place only. first: places where a text or line starts. A capital letter makes a name
-        only inside a sentence."""
+        """Template hash and kind of each word, hash of its plain form, and whether it is no name for its place only. first:
+        places where a text starts. A capital letter makes a name only inside a sentence."""
         if len(self.rows) > self.most:
             self.rows, self.number = [], {}
         get, add = self.number.get, self._add
@@ -155,8 +155,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     """Pairs of documents and benchmark items whose template they hold: doc_id, key, item_id, item_words, n_matched, exact.
 
     A pair counts if windows aligned with consistent slots cover at least `share` of the item's words. exact: all slot
-    values are the item's own. Windows with fewer than LITERALS plain words match word for word only. Words split at white space; whole texts are read. Null and empty texts match nothing, nor do
-    items of fewer than SHORTEST words. key is a hash of id and text, which tells apart rows with equal or null ids; equal
+    values are the item's own. Windows with fewer than LITERALS plain words match word for word only. Slots must agree among
+    the windows of one alignment. Words split at white space; whole texts, however long, are read. Null and empty texts match
+    nothing, nor do items of fewer than SHORTEST words. key is a hash of id and text, which tells apart rows with equal or null ids; equal
     rows give one pair. Either table empty: no rows. Other columns are not read.
     """
     spark: SparkSession = docs.sparkSession

@@ -128,7 +128,8 @@ def judge(docs: DataFrame, threshold: float = 0.5, measured: DataFrame | None =
 
 
 def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that judge() keeps, with the columns they came with, whatever their names."""
+    """The documents that judge() keeps, with the columns they came with, whatever their names. Null, empty and very short
+    texts go, very long ones are judged whole, repeated rows share their fate, and an empty table stays empty."""
     from docloom.llm.common import stored
 
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").cast("string").alias("text"))

@@ -190,7 +190,7 @@ def links(distinct: DataFrame, most: int = 3, segments: int = 2) -> DataFrame:
     ball = F.filter(F.transform(F.lit(np.array(masks, np.int64)), lambda m: F.col("t.key").bitwiseXOR(m)), lambda k: k >= F.col("t.key"))
     rows = distinct.select("fp", "rep", F.explode(tables).alias("t")).select("fp", "rep", "t", F.explode(ball).alias("key"))
     rows = rows.select(F.col("t.seg").alias("seg"), "key", "fp", "rep", (F.col("key") == F.col("t.key")).alias("own"))
-    return _linked(rows, most, partitions(distinct))
+    return _linked(rows, most, partitions(distinct, 2))  # a row becomes some 34
 
 
 def _grouped(prints: DataFrame, most: int, segments: int) -> DataFrame:
@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
 
     Words are lower-cased in A-Z only and split at ASCII white space. Null and empty texts have fingerprint zero and are
     linked like any other. Rows without doc_id keep a fingerprint and get the component of their fingerprint, if any.
-    Repeated rows come out as often as they came in; an empty table gives no rows; other columns are not read.
+    Repeated rows come out as often as they came in; very long texts are read whole, their hashes counted in pieces; an empty
+    table gives no rows; other columns are not read.
     """
     prints = stored(fingerprints(docs, size), "prints")
     out = prints.join(_grouped(prints, most, 2), "fp", "left")
@@ -279,7 +280,7 @@ def similar(first: DataFrame) -> DataFrame:
     rows = first.select(F.col("doc_id").alias("rep"), *[F.get("bits", k).alias(w) for k, w in enumerate(WORDS)], F.explode(tables).alias("t"))
     rows = rows.select("rep", *WORDS, "t", F.explode(ball).alias("byte"))
     rows = rows.select(F.col("t.seg").alias("seg"), F.xxhash64("t.pivot", "byte").alias("key"), "rep", *WORDS, (F.col("byte") == F.col("t.byte")).alias("own"))
-    return _linked(rows, DIFFER, partitions(first), WORDS)
+    return _linked(rows, DIFFER, partitions(first, 3), WORDS)  # a row becomes some 60 short ones
 
 
 def _shingle_sets(size: int):
