@@ -48,6 +48,18 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def unpack_all(payloads: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
+    """The arrays of several strings end to end, unpacked one at a time, and how many numbers of the first array each has."""
+    heads = [json.loads(p[4 : 4 + int.from_bytes(p[:4], "little")]) for p in payloads]
+    out = [np.empty(sum(h[c][1] for h in heads), kind) for c, (kind, _) in enumerate(heads[0])]
+    at = [0] * len(out)
+    for p in payloads:
+        for c, part in enumerate(unpack(p)):
+            out[c][at[c] : at[c] + len(part)] = part
+            at[c] += len(part)
+    return out, [h[0][1] for h in heads]
+
+
 class Block:
     """Texts one after another: ids, starts (one more than texts) and data."""
 

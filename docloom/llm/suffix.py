@@ -6,6 +6,10 @@ that stand in two documents can lie in a repeated string. Where all that surroun
 same hash, all their 50-byte strings are equal and no text is needed. The rest, mostly the edges of repeated passages, are
 fetched with their surroundings and sorted: buckets of equal 8-byte strings are refined by sorting on the bucket numbers
 of later offsets (8, then 16, then 18 on), the refined numbers serving in the next round, until buckets hold equal 50 bytes.
+
+Equal strings hold the same anchor at the same offset. So anchors are sorted a few megabytes at a time, and one that alone has
+more than that is sorted once to either side: at each offset, buckets of equal left parts are refined by the bucket numbers of
+their right parts. Memory is some 200 bytes for each surroundings of a bucket, and 100 MB.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.llm.blocks import NO_ID, Block, Row, by_block, by_bucket, dealt, first_pass, pack, unpack
+from docloom.llm.blocks import NO_ID, Block, Row, by_block, by_bucket, dealt, first_pass, pack, unpack, unpack_all
 from docloom.llm.common import partitions, scratch, stored
 
 SPAN, GRAM = 50, 20
@@ -25,6 +29,8 @@ SIDE = SPAN - GRAM
 ANCHORS, WHOLE, FETCH, CONTEXTS, PARTS = 1, 2, 3, 4, 5
 #: Texts longer than this are hashed in pieces of so many bytes.
 PIECE = 4 << 20
+#: Bytes of surroundings sorted at once; less than twice as many may be.
+AT_ONCE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -144,11 +150,10 @@ def _match(bucket: int, rows: list[Row]) -> Iterator[Row]:
     rows = [r for r in rows if r[2] == ANCHORS]
     if not rows:
         return
-    parts = [unpack(r[3]) for r in rows]
-    block = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
-    text, ids, at, h1, h2, k1, k2, left, right = (np.concatenate(c) for c in zip(*parts))
+    (text, ids, at, h1, h2, k1, k2, left, right), counts = unpack_all([r[3] for r in rows])
+    block = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
     h, k = (h1.astype(np.uint64) << np.uint64(16)) | h2, (k1.astype(np.uint64) << np.uint64(16)) | k2
-    del parts, h1, h2, k1, k2
+    del h1, h2, k1, k2
     order = np.argsort(h, kind="stable")
     start = _first_of(h[order])
     low, high = np.minimum.reduceat(ids[order], start), np.maximum.reduceat(ids[order], start)
@@ -200,7 +205,7 @@ def _fetch(folder: str):
             s, e = np.maximum(lo, mid - SIDE), np.minimum(hi, mid + SPAN)
             size = e - s
             spread = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-            yield _batch([(bucket, number, CONTEXTS, pack(text.astype(np.int32), block.ids[text], (s - lo).astype(np.uint32), size.astype(np.uint8), block.data[spread]))])
+            yield _batch([(bucket, number, CONTEXTS, pack(text.astype(np.int32), block.ids[text], (s - lo).astype(np.uint32), size.astype(np.uint8), (mid - s).astype(np.uint8), block.data[spread]))])
 
     return act
 
@@ -236,33 +241,118 @@ def equal_spans(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out[at]
 
 
-def _refine(bucket: int, rows: list[Row]) -> Iterator[Row]:
-    """Sort all strings of the fetched surroundings; of equal ones, all but those of the smallest id are repeated."""
-    if not rows:
-        return
-    text, ids, first, size, data = (np.concatenate(c) for c in zip(*[unpack(r[3]) for r in rows]))
-    block = np.repeat(np.arange(len(rows)), [len(unpack(r[3])[0]) for r in rows])
-    begin = np.concatenate([[0], np.cumsum(size.astype(np.int64))])[:-1]
-    room = size.astype(np.int64) - SPAN + 1
+def _word(data: np.ndarray, at: np.ndarray, step: int, n: int = 8) -> np.ndarray:
+    """The n bytes from each place on, forwards or backwards (step 1 or -1), as a number."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = (out << np.uint64(8)) | data[np.clip(at + step * k, 0, len(data) - 1)]
+    return out
+
+
+def _side(data: np.ndarray, at: np.ndarray, step: int):
+    """A function of a depth up to SIDE: the bucket numbers of so many bytes from each place on."""
+    order = np.lexsort([_word(data, at + step * k, step, min(8, SIDE - k)) for k in range(0, SIDE, 8)][::-1])
+    same = np.arange(len(at)) > 0
+    common = np.zeros(len(at), np.uint8)  # bytes in common with the one before
+    for k in range(SIDE):
+        byte = _word(data, at[order] + step * k, step, 1)
+        same[1:] &= byte[1:] == byte[:-1]
+        common += same
+
+    def numbers(depth: int) -> np.ndarray:
+        out = np.empty(len(at), np.int64)
+        out[order] = np.cumsum(common < depth)
+        return out
+
+    return numbers
+
+
+def _repeats_of_one(data: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For one anchor at many places, with so many bytes before and after it: a bit for each string that also starts in a
+    smaller id, the lowest bit for the one that starts with the surroundings."""
+    left, right = _side(data, at - 1, -1), _side(data, at + GRAM, 1)
+    out = np.zeros(len(at), np.uint32)
+    for n in range(SIDE + 1):  # bytes of the string before the anchor
+        live = np.flatnonzero((before >= n) & (after >= SIDE - n))
+        bucket, later = left(n)[live], right(SIDE - n)[live]
+        if not len(live):
+            continue
+        many = (np.bincount(bucket)[bucket] > 1) & (np.bincount(later)[later] > 1)
+        live, name = live[many], (bucket[many] << 32) | later[many]
+        order = np.lexsort((ids[live], name))
+        start = _first_of(name[order])
+        live = live[order]
+        again = live[ids[live] > np.repeat(ids[live][start], np.diff(np.append(start, len(live))))]
+        out[again] |= np.uint32(1) << (before[again] - n).astype(np.uint32)
+    return out
+
+
+def _repeats(data: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The same bits for surroundings of any anchors, laid end to end."""
+    begin = np.cumsum(size) - size
+    room = size - SPAN + 1
+    first = np.cumsum(room) - room
     which = np.repeat(np.arange(len(size)), room)
-    offset = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(room)[:-1]]), room)
+    offset = np.arange(len(which)) - np.repeat(first, room)
     name = equal_spans(data, begin[which] + offset)
     order = np.lexsort((ids[which], name))
     start = _first_of(name[order])
     low = np.empty(len(which), np.int64)
     low[order] = np.repeat(ids[which][order][start], np.diff(np.append(start, len(order))))
-    hit = np.flatnonzero(ids[which] > low)
-    w = which[hit]
-    place = first[w].astype(np.int64) + offset[hit]
-    order = np.lexsort((place, text[w], block[w]))
-    w, place = w[order], place[order]
-    edge = np.ones(len(w), bool)
-    edge[1:] = (block[w][1:] != block[w][:-1]) | (text[w][1:] != text[w][:-1]) | (place[1:] > place[:-1] + 1)
-    s = np.flatnonzero(edge)
-    e = np.append(s[1:], len(w)) - 1
-    for n in np.unique(block[w[s]]).tolist():
-        pick = block[w[s]] == n
-        yield bucket, rows[n][1], PARTS, pack(text[w[s[pick]]].astype(np.int32), place[s[pick]].astype(np.uint32), (place[e[pick]] + SPAN).astype(np.uint32))
+    return np.bitwise_or.reduceat((ids[which] > low).astype(np.uint32) << offset.astype(np.uint32), first)
+
+
+def _refine(bucket: int, rows: list[Row]) -> Iterator[Row]:
+    """Sort all strings of the fetched surroundings; of equal ones, all but those of the smallest id are repeated."""
+    if not rows:
+        return
+    (text, ids, first, size, middle, data), counts = unpack_all([r[3] for r in rows])
+    block = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
+    begin = np.cumsum(size, dtype=np.int64) - size
+    anchor = [_word(data, begin + middle + k, 1) for k in (0, 8, GRAM - 8)]
+    order = np.lexsort(anchor)
+    start = _first_of(*[k[order] for k in anchor])
+    del anchor
+    many = np.add.reduceat(size[order], start, dtype=np.int64)
+    alone = many > AT_ONCE
+    turn = np.cumsum(np.where(alone, 0, many)) // AT_ONCE
+    turn = np.repeat(np.where(alone, turn[-1] + 1 + np.arange(len(start)), turn), np.diff(np.append(start, len(order))))
+    order, alone = order[(by := np.argsort(turn, kind="stable"))], np.repeat(alone, np.diff(np.append(start, len(order))))[by]
+    start = _first_of(turn[by])
+    found = np.zeros(len(size), np.uint32)
+    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(order)]):
+        pick = order[s:e]
+        wide = size[pick].astype(np.int64)
+        if alone[s]:
+            before = middle[pick].astype(np.int64)
+            found[pick] = _repeats_of_one(data, begin[pick] + before, before, wide - before - GRAM, ids[pick])
+        else:
+            spread = np.repeat(begin[pick] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+            found[pick] = _repeats(data[spread], wide, ids[pick])
+    del data, order, alone, turn, by
+    runs = []
+    for edge in (found & ~(found << np.uint32(1)), found & ~(found >> np.uint32(1))):  # first and last strings of runs
+        hits = [np.flatnonzero((edge >> np.uint32(o)) & np.uint32(1)) for o in range(SIDE + 1)]
+        w, o = np.concatenate(hits), np.repeat(np.arange(SIDE + 1), [len(x) for x in hits])
+        by = np.lexsort((o, w))
+        runs.append((w[by], o[by]))
+    (w, s), (_, e) = runs
+    if not len(w):
+        return
+    s, e = first[w] + s, first[w] + e + SPAN
+    by = np.lexsort((s, text[w], block[w]))
+    w, s, e = w[by], s[by], e[by]
+    own = _first_of(block[w], text[w])  # runs of one text that touch become one
+    far = np.repeat(np.arange(len(own)) << 33, np.diff(np.append(own, len(w))))
+    reach = np.maximum.accumulate(e + far)
+    new = np.flatnonzero(np.concatenate([[True], (s + far)[1:] > reach[:-1]]))
+    e = (reach - far)[np.append(new[1:], len(w)) - 1]
+    w, s = w[new], s[new]
+    cut = np.searchsorted(block[w], np.arange(len(rows) + 1))
+    for n in range(len(rows)):
+        if cut[n] < cut[n + 1]:
+            p = slice(cut[n], cut[n + 1])
+            yield bucket, rows[n][1], PARTS, pack(text[w[p]].astype(np.int32), s[p].astype(np.uint32), e[p].astype(np.uint32))
 
 
 def _finish(folder: str):

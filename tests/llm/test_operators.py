@@ -200,6 +200,49 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     assert sorted(x for part in suffix._pieces(block) for x in zip(*[c.tolist() for c in part])) == whole
 
 
+def edges(n):
+    """Texts around one phrase, in varied surroundings that share a few bytes with others."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(30)]
+    around = lambda: " ".join(rng.choice(words) for _ in range(9))
+    return [(rng.randint(0, n), (around() + " an unusually common phrase of forty-odd bytes " + around())[rng.randint(0, 40) :]) for _ in range(n)]
+
+
+def refined(folder, rows, buckets=1):
+    """What the refinement says of one block of rows, and the most memory that it took, in bytes."""
+    import tracemalloc
+
+    block = suffix.Block.of([d for d, _ in rows], [t.encode() for _, t in rows])
+    block.save(folder, 0)
+    asked = [r for r in suffix._match(0, list(suffix._send(buckets)(0, block))) if r[2] == suffix.FETCH]
+    fetched = [tuple(r.values()) for b in suffix._fetch(folder)(0, asked) for r in b.to_pylist()]
+    tracemalloc.start()
+    parts = [suffix.unpack(r[3]) for r in suffix._refine(0, fetched)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gone = {(t, k) for p in parts for t, s, e in zip(*[c.tolist() for c in p]) for k in range(s, e)}
+    return gone, peak
+
+
+def test_memory_of_refinement_for_a_frequent_anchor(tmp_path):
+    peak = refined(str(tmp_path), edges(30000))[1]
+    assert peak < 200 << 20
+
+
+def test_substring_removal_around_a_frequent_anchor(spark):
+    rows = edges(30000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, suffix.remove_repeats(df).collect())) == plain_removal(rows)
+
+
+def test_refinement_does_not_depend_on_what_is_sorted_at_once(tmp_path, monkeypatch):
+    rows = edges(400) + [(k, "ab" * 60 + str(k % 3)) for k in range(40)]
+    whole = refined(str(tmp_path), rows)[0]
+    for size in (1, 100, 5000):
+        monkeypatch.setattr(suffix, "AT_ONCE", size)
+        assert refined(str(tmp_path), rows)[0] == whole
+
+
 # 4
 def plain_cuts(data):
     """Chunk ends by the definition: where the hash of the last bytes is the least of those around."""
